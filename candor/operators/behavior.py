@@ -1,7 +1,7 @@
 """Posting behaviour: bursts, entropies, per-user and per-product aggregates.
 
 Every feature is first aggregated per key, with map-side combine, and then attached to the review rows
-with hot keys salted.  No window ever spans all rows of one user or product.
+by a join whose hot keys adaptive execution can split.  No window ever spans all rows of one user or product.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candor.lineage import cut
 from candor.functions.dates import DAY_MICROS, micros, weekday
 from candor.operators.clean import ROW_KEY
 from candor.operators.meta import account_age, product_age
@@ -135,22 +136,21 @@ def product_stats(df: DataFrame) -> DataFrame:
 
 def user_behavior(df: DataFrame, users: DataFrame | None = None, *, order: str = ROW_KEY) -> DataFrame:
     stats = user_stats(df).drop("user_verified_ratio")
-    out = attach(df, stats, "user_id", spread=order, count="user_review_count").withColumn(
+    out = attach(df, stats, "user_id").withColumn(
         "rating_deviation", F.abs(F.col("rating") - F.col("user_avg_rating"))
     )
     return out if users is None else account_age(out, users, order=order)
 
 
 def product_behavior(df: DataFrame, products: DataFrame | None = None, *, order: str = ROW_KEY) -> DataFrame:
-    out = attach(df, product_stats(df), "product_id", spread=order, count="product_review_count").withColumn(
+    out = attach(df, product_stats(df), "product_id").withColumn(
         "product_rating_deviation", F.abs(F.col("rating") - F.col("product_avg_rating"))
     )
     return out if products is None else product_age(out, products, order=order)
 
 
 def user_verified_ratio(df: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
-    stats = user_stats(df).select("user_id", "user_verified_ratio", F.col("user_review_count").alias("_n"))
-    return attach(df, stats, "user_id", spread=order, count="_n").drop("_n")
+    return attach(df, user_stats(df).select("user_id", "user_verified_ratio"), "user_id")
 
 
 def same_day_counts(
@@ -162,7 +162,7 @@ def same_day_counts(
     for key, name in (("user_id", user_name), ("product_id", product_name)):
         if name:
             counts = out.filter("_day IS NOT NULL").groupBy(key, "_day").agg(F.count(F.lit(1)).alias(name))
-            out = attach(out, counts, [key, "_day"], spread=order, count=name).fillna(0, subset=[name])
+            out = attach(out, counts, [key, "_day"]).fillna(0, subset=[name])
     return out.drop("_day")
 
 
@@ -200,7 +200,7 @@ def behavioral_features(
     """
     from candor.operators.graph import bipartite_degrees, review_edges, user_clustering
 
-    edges = review_edges(df, order=order)
+    edges = cut(review_edges(df, order=order))
     user_degree, product_degree = bipartite_degrees(edges)
     per_user = (
         user_stats(df)
@@ -215,8 +215,8 @@ def behavioral_features(
         .join(burst_features(df, "product_id", "product"), "product_id")
         .join(product_degree, "product_id")
     )
-    out = attach(df, per_user, "user_id", spread=order, count="user_review_count")
-    out = attach(out, per_product, "product_id", spread=order, count="product_review_count")
+    out = attach(df, per_user, "user_id")
+    out = attach(out, per_product, "product_id")
     out = out.transform(calendar_parts).withColumns(
         {
             "rating_deviation": F.abs(F.col("rating") - F.col("user_avg_rating")),

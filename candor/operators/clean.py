@@ -92,7 +92,7 @@ def membership_flags(
     """Flag rows whose user or product is in the given id tables (one row per id)."""
     u = users.select("user_id").withColumn("_u", F.lit(True))
     p = products.select("product_id").withColumn("_p", F.lit(True))
-    flagged = attach(attach(df, u, "user_id", spread=order), p, "product_id", spread=order)
+    flagged = attach(attach(df, u, "user_id"), p, "product_id")
     is_user, is_product = F.coalesce("_u", F.lit(False)), F.coalesce("_p", F.lit(False))
     return flagged.withColumns(
         {

@@ -12,9 +12,8 @@ MAX_ROUNDS = 60
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
-    """Edges (src, dst) with the smallest neighbour of ``src``; hub nodes are salted."""
-    mins = edges.groupBy("src").agg(F.min("dst").alias("_min"), F.count(F.lit(1)).alias("_deg"))
-    return attach(edges, mins, "src", spread="dst", count="_deg").drop("_deg")
+    """Edges (src, dst) with the smallest neighbour of ``src``."""
+    return attach(edges, edges.groupBy("src").agg(F.min("dst").alias("_min")), "src")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candor.operators.clean import ROW_KEY
 from candor.operators.similarity import overlapping_sets, profile_edges, profiles
+from candor.lineage import cut
 from candor.skew import attach
 
 
@@ -30,7 +31,7 @@ def bipartite_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(user_id, user_degree, user_neighbors_avg_degree) and (product_id, product_degree)."""
     products = product_degrees(edges)
     users = (
-        attach(edges.select("user_id", "product_id"), products, "product_id", spread="user_id", count="product_degree")
+        attach(edges.select("user_id", "product_id"), products, "product_id")
         .groupBy("user_id")
         .agg(
             F.count(F.lit(1)).alias("user_degree"),
@@ -43,7 +44,7 @@ def bipartite_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def graph_degrees(df: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
     """Degrees attached to the review rows."""
     users, products = bipartite_degrees(review_edges(df, order=order))
-    return attach(attach(df, users, "user_id", spread=order), products, "product_id", spread=order)
+    return attach(attach(df, users, "user_id"), products, "product_id")
 
 
 def coreview_classes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,20 +55,20 @@ def coreview_classes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     degrees = product_degrees(edges)
     shared = (
-        attach(edges.select("user_id", "product_id"), degrees, "product_id", spread="user_id", count="product_degree")
+        attach(edges.select("user_id", "product_id"), degrees, "product_id")
         .filter(F.col("product_degree") > 1)
         .select("user_id", "product_id")
     )
-    membership = profiles(shared, "user_id", "product_id")
-    return membership, profile_edges(shared, membership, "user_id")
+    membership = cut(profiles(shared, "user_id", "product_id"))
+    return membership, cut(profile_edges(shared, membership, "user_id"))
 
 
 def _class_pairs(own: DataFrame) -> DataFrame:
-    """Pairs of classes that share a product: (set_1 < set_2, weight); hot products are joined salt by salt."""
+    """Pairs of classes that share a product: (set_1 < set_2, weight)."""
     one = own.select(F.col("profile").alias("set_1"), "product_id")
     two = own.select(F.col("profile").alias("set_2"), "product_id")
     return (
-        attach(one, two, "product_id", spread="set_1", how="inner")
+        attach(one, two, "product_id", how="inner")
         .filter(F.col("set_1") < F.col("set_2"))
         .groupBy("set_1", "set_2")
         .agg(F.count(F.lit(1)).alias("weight"))
@@ -106,7 +107,7 @@ def user_similarity_stats(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("user_id", "product_id")
     degree = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("d"))
-    placed = attach(pairs, degree, "user_id", spread="product_id", count="d")
+    placed = attach(pairs, degree, "user_id")
     hist = placed.groupBy("product_id", "d").agg(F.count(F.lit(1)).alias("n"))
     other = hist.select("product_id", F.col("d").alias("d2"), F.col("n").alias("n2"))
     others = F.col("n2") - F.when(F.col("d") == F.col("d2"), 1).otherwise(0)
@@ -115,19 +116,18 @@ def user_similarity_stats(edges: DataFrame) -> DataFrame:
         hist.join(other, "product_id")
         .groupBy("product_id", "d")
         .agg(
-            F.max("n").alias("n"),
             F.sum(others).alias("links"),
             F.sum(others * single).alias("sum_single"),
             F.max(F.when(others > 0, single)).alias("max_single"),
         )
     )
     base = (
-        attach(placed, per_degree, ["product_id", "d"], spread="user_id", count="n")
+        attach(placed, per_degree, ["product_id", "d"])
         .groupBy("user_id")
         .agg(F.max("d").alias("d"), F.sum("links").alias("links"), F.sum("sum_single").alias("total"), F.max("max_single").alias("best"))
     )
-    membership = profiles(pairs, "user_id", "product_id")
-    own = profile_edges(pairs, membership, "user_id")
+    membership = cut(profiles(pairs, "user_id", "product_id"))
+    own = cut(profile_edges(pairs, membership, "user_id"))
     strong = overlapping_sets(own, "profile", "product_id")
     directed = strong.select(
         F.col("set_1").alias("profile"), F.col("size_1").alias("a"), F.col("size_2").alias("b"), "shared", F.col("members_2").alias("m")
@@ -146,7 +146,7 @@ def user_similarity_stats(edges: DataFrame) -> DataFrame:
             F.max(c / (a + b - c)).alias("best_strong"),
         )
     )
-    fixes = attach(membership.select("user_id", "profile"), correction, "profile", spread="user_id").drop("profile")
+    fixes = attach(membership.select("user_id", "profile"), correction, "profile").drop("profile")
     n = F.col("links") - F.coalesce("links_over", F.lit(0))
     return (
         base.join(fixes, "user_id", "left")
@@ -167,7 +167,7 @@ def user_clustering(edges: DataFrame) -> DataFrame:
     concerns pairs that share two or more products.  All of it runs on user classes with multiplicities.
     """
     membership, own = coreview_classes(edges)
-    half = _class_pairs(own).select("set_1", "set_2")
+    half = cut(_class_pairs(own).select("set_1", "set_2"))
     linked = half.union(half.select(F.col("set_2").alias("set_1"), F.col("set_1").alias("set_2")))
     classes = membership.filter(F.col("user_id") == F.col("profile")).select("profile", "members", "size")
 
@@ -190,7 +190,7 @@ def user_clustering(edges: DataFrame) -> DataFrame:
             F.sum(F.col("m") * (F.col("m") - 1) / 2 * (F.col("s") - 1)).alias("over_twins"),
         )
     )
-    strong = overlapping_sets(own, "profile", "product_id")
+    strong = cut(overlapping_sets(own, "profile", "product_id"))
     # Repeated links between two other classes, both neighbours of set_1 ...
     between = (
         linked.select("set_1", F.col("set_2").alias("y"))
@@ -223,6 +223,6 @@ def user_clustering(edges: DataFrame) -> DataFrame:
             F.when(degree >= 2, 2.0 * triangles / (degree * (degree - 1.0))).otherwise(0.0).alias("user_clustering"),
         )
     )
-    values = attach(membership.select("user_id", "profile"), per_class, "profile", spread="user_id").drop("profile")
+    values = attach(membership.select("user_id", "profile"), per_class, "profile").drop("profile")
     everyone = edges.select("user_id").distinct()
     return everyone.join(values, "user_id", "left").fillna(0.0, subset=["user_clustering"])

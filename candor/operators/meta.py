@@ -1,7 +1,7 @@
 """Joins with user and product metadata.
 
 Metadata tables grow with the data, so nothing is broadcast by hand: Spark does so when the statistics
-say the table is small, otherwise the join shuffles with hot users and products salted.
+say the table is small, otherwise the join shuffles, and hot users and products are split.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _prefixed(meta: DataFrame, key: str, prefix: str, taken: list[str]) -> DataF
 
 def join_users(df: DataFrame, users: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
     """``days_since_joining`` and the new-account flag (false, not null, when nothing is known)."""
-    joined = attach(df, _prefixed(users, "user_id", "user_meta_", df.columns), "user_id", spread=order)
+    joined = attach(df, _prefixed(users, "user_id", "user_meta_", df.columns), "user_id")
     days = whole_days(F.col("date"), F.col("join_date"))
     return joined.withColumns(
         {"days_since_joining": days, "is_new_account_review": F.coalesce(days <= NEW_ACCOUNT_DAYS, F.lit(False))}
@@ -33,12 +33,12 @@ def join_users(df: DataFrame, users: DataFrame, *, order: str = ROW_KEY) -> Data
 
 
 def join_products(df: DataFrame, products: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
-    joined = attach(df, _prefixed(products, "product_id", "product_meta_", df.columns), "product_id", spread=order)
+    joined = attach(df, _prefixed(products, "product_id", "product_meta_", df.columns), "product_id")
     return joined.withColumn("days_since_listing", whole_days(F.col("date"), F.col("listing_date")))
 
 
 def account_age(df: DataFrame, users: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
-    joined = attach(df, _prefixed(users, "user_id", "user_meta_", df.columns), "user_id", spread=order)
+    joined = attach(df, _prefixed(users, "user_id", "user_meta_", df.columns), "user_id")
     age = whole_days(F.col("date"), F.col("join_date"))
     return joined.withColumns(
         {"account_age_days": age, "is_suspicious_new_account": F.coalesce(age <= NEW_ACCOUNT_DAYS, F.lit(False))}
@@ -46,7 +46,7 @@ def account_age(df: DataFrame, users: DataFrame, *, order: str = ROW_KEY) -> Dat
 
 
 def product_age(df: DataFrame, products: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
-    joined = attach(df, _prefixed(products, "product_id", "product_meta_", df.columns), "product_id", spread=order)
+    joined = attach(df, _prefixed(products, "product_id", "product_meta_", df.columns), "product_id")
     age = whole_days(F.col("date"), F.col("listing_date"))
     return joined.withColumns(
         {"product_age_days": age, "is_suspicious_early_review": F.coalesce(age <= EARLY_REVIEW_DAYS, F.lit(False))}
@@ -73,13 +73,13 @@ def metadata_features(
             F.col("avg_rating").cast("double").alias("user_avg_rating"),
             F.when(total > 0, F.col("verified_purchases") / total).otherwise(0.0).alias("user_verified_ratio"),
         )
-        out = attach(out, u, "user_id", spread=order)
+        out = attach(out, u, "user_id")
     if products is not None:
         p = first_per_key(products.select("product_id", "avg_rating", "review_count"), "product_id").select(
             "product_id",
             F.col("avg_rating").cast("double").alias("product_avg_rating"),
             F.col("review_count").cast("double").alias("product_review_count"),
         )
-        out = attach(out, p, "product_id", spread=order)
+        out = attach(out, p, "product_id")
     added = [c for c in out.columns if c not in df.columns]
     return out.fillna(0.0, subset=added) if added else out

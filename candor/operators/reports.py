@@ -44,7 +44,7 @@ def user_product_metrics(df: DataFrame, users: DataFrame | None = None, *, order
         ),
     ]
     if users is not None:
-        joined = attach(df.select(order, "user_id", "date", "verified_purchase"), users.select("user_id", "join_date"), "user_id", spread=order)
+        joined = attach(df.select(order, "user_id", "date", "verified_purchase"), users.select("user_id", "join_date"), "user_id")
         fresh = whole_days(F.col("date"), F.col("join_date")) <= NEW_ACCOUNT_DAYS
         parts.append(
             joined.agg(
@@ -127,7 +127,7 @@ def network_edges(edges: DataFrame, highlighted: DataFrame) -> DataFrame:
     """Edges with the highlight flag of their user."""
     marked = attach(
         edges.select("user_id", "product_id", "rating", "date"),
-        highlighted.select("user_id").withColumn("_h", F.lit(True)), "user_id", spread="product_id",
+        highlighted.select("user_id").withColumn("_h", F.lit(True)), "user_id",
     )
     return marked.withColumn("is_highlighted", F.coalesce("_h", F.lit(False))).drop("_h")
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candor.lineage import cut
 from candor.skew import attach
 
 SLOTS_PER_OCTAVE = 64
@@ -42,14 +43,14 @@ def profiles(edges: DataFrame, set_col: str, item_col: str, attributes: tuple[st
         F.bit_xor(F.xxhash64(F.lit("second"), *reversed(content))).alias("_s2"),
     )
     named = sets.groupBy("size", "_s1", "_s2").agg(F.min(set_col).alias("profile"), F.count(F.lit(1)).alias("members"))
-    return attach(sets, named, ["size", "_s1", "_s2"], spread=set_col, count="members").drop("_s1", "_s2")
+    return attach(sets, named, ["size", "_s1", "_s2"]).drop("_s1", "_s2")
 
 
 def profile_edges(edges: DataFrame, membership: DataFrame, set_col: str) -> DataFrame:
     """Edges of the representatives only, with ``members`` and ``size``; the set column is renamed ``profile``."""
     item_cols = [c for c in edges.columns if c != set_col]
     reps = membership.filter(F.col(set_col) == F.col("profile")).select(set_col, "members", "size")
-    kept = attach(edges, reps, set_col, spread=item_cols, count="size", how="inner")
+    kept = attach(edges, reps, set_col, how="inner")
     return kept.withColumnRenamed(set_col, "profile")
 
 
@@ -60,7 +61,7 @@ def rare_first(members: DataFrame, set_col: str, item_col: str) -> DataFrame:
     so the window over its histogram is bounded however large the set is.
     """
     freq = members.groupBy(item_col).agg(F.count(F.lit(1)).alias("_f"))
-    placed = attach(members, freq, item_col, spread=set_col, count="_f").withColumn(
+    placed = attach(members, freq, item_col).withColumn(
         "_slot",
         F.floor(F.log2(F.col("_f").cast("double"))).cast("int") * SLOTS_PER_OCTAVE
         + F.pmod(F.xxhash64(item_col), F.lit(SLOTS_PER_OCTAVE)).cast("int"),
@@ -68,7 +69,8 @@ def rare_first(members: DataFrame, set_col: str, item_col: str) -> DataFrame:
     hist = placed.groupBy(set_col, "_slot").agg(F.count(F.lit(1)).alias("_k"))
     earlier = Window.partitionBy(set_col).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("pos", F.coalesce(F.sum("_k").over(earlier), F.lit(0)) + 1)
-    return attach(placed, hist, [set_col, "_slot"], spread=item_col, count="_k").drop("_slot", "_f", "_k")
+    # Joined with itself by every caller, so it is written out once.
+    return cut(attach(placed, hist, [set_col, "_slot"]).drop("_slot", "_f", "_k"))
 
 
 def _class_of(size: Column) -> Column:
@@ -110,7 +112,7 @@ def similar_sets(
     )
     left = side(F.col("_class") <= F.col("_partner"), 1, "_class", "_partner")
     right = side(F.col("_class") >= F.col("_partner"), 2, "_partner", "_class")
-    met = attach(left, right, [item_col, "_lo", "_hi"], spread="_set1", how="inner").filter(
+    met = attach(left, right, [item_col, "_lo", "_hi"], how="inner").filter(
         ((F.col("_lo") < F.col("_hi")) | (F.col("_set1") < F.col("_set2")))
         & (F.least("_size1", "_size2") >= F.greatest("_size1", "_size2") * t - EPS)
         & (
@@ -160,7 +162,7 @@ def overlapping_sets(edges: DataFrame, set_col: str, item_col: str) -> DataFrame
     early = rare_first(edges, set_col, item_col).filter(F.col("pos") < F.col("size")).select(set_col, item_col)
     met = attach(
         early.withColumnRenamed(set_col, "set_1"), early.withColumnRenamed(set_col, "set_2"),
-        item_col, spread="set_1", how="inner",
+        item_col, how="inner",
     ).filter(F.col("set_1") < F.col("set_2"))
     return verify_overlap(met.select("set_1", "set_2").distinct(), edges, set_col, item_col).filter(
         F.col("shared") >= 2

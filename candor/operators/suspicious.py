@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candor.lineage import cut
 from candor.operators.components import connected_components
 from candor.operators.similarity import profile_edges, profiles, similar_sets
 from candor.skew import attach
@@ -37,7 +38,7 @@ def user_profiles(edges: DataFrame) -> DataFrame:
 
 
 def user_pair_similarity(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    return user_pairs(edges, user_profiles(edges), min_similarity=min_similarity)
+    return user_pairs(edges, cut(user_profiles(edges)), min_similarity=min_similarity)
 
 
 def product_profiles(edges: DataFrame) -> DataFrame:
@@ -58,27 +59,27 @@ def product_pairs(edges: DataFrame, membership: DataFrame, *, min_similarity: fl
 
 
 def product_pair_similarity(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    return product_pairs(edges, product_profiles(edges), min_similarity=min_similarity)
+    return product_pairs(edges, cut(product_profiles(edges)), min_similarity=min_similarity)
 
 
 def _flagged_members(membership: DataFrame, pairs: DataFrame, a: str, b: str, key: str, min_size: int) -> DataFrame:
     """Members of profiles that hold several sets or have a similar partner; no iteration is needed for that."""
     partners = pairs.select(F.col(a).alias("profile")).union(pairs.select(F.col(b).alias("profile"))).distinct()
-    found = attach(membership, partners.withColumn("_p", F.lit(True)), "profile", spread=key)
+    found = attach(membership, partners.withColumn("_p", F.lit(True)), "profile")
     twins = (F.col("members") >= 2) & (F.col("size") >= min_size)
     return found.filter(twins | F.col("_p")).select(key)
 
 
 def suspicious_users(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    membership = user_profiles(edges)
-    pairs = user_pairs(edges, membership, min_similarity=min_similarity)
+    membership = cut(user_profiles(edges))
+    pairs = cut(user_pairs(edges, membership, min_similarity=min_similarity))
     return _flagged_members(membership, pairs, "user_1", "user_2", "user_id", 1)
 
 
 def _groups(membership: DataFrame, pairs: DataFrame, a: str, b: str, key: str, min_size: int) -> DataFrame:
     """(group_id, member): long form, because the member list of a group is unbounded."""
     parts = connected_components(pairs, a, b).select(F.col("node").alias("profile"), "component")
-    joined = attach(membership, parts, "profile", spread=key)
+    joined = attach(membership, parts, "profile")
     twins = (F.col("members") >= 2) & (F.col("size") >= min_size)
     return joined.filter(twins | F.col("component").isNotNull()).select(
         F.coalesce("component", "profile").alias("group_id"), key
@@ -87,13 +88,13 @@ def _groups(membership: DataFrame, pairs: DataFrame, a: str, b: str, key: str, m
 
 def suspicious_user_groups(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Connected groups of similar users; the group is named after its smallest member."""
-    membership = user_profiles(edges)
+    membership = cut(user_profiles(edges))
     pairs = user_pairs(edges, membership, min_similarity=min_similarity)
     return _groups(membership, pairs, "user_1", "user_2", "user_id", 1)
 
 
 def suspicious_product_groups(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    membership = product_profiles(edges)
+    membership = cut(product_profiles(edges))
     pairs = product_pairs(edges, membership, min_similarity=min_similarity)
     return _groups(membership, pairs, "product_1", "product_2", "product_id", MIN_SHARED_REVIEWERS)
 

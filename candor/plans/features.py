@@ -50,8 +50,8 @@ def graph_features(
     bad = suspicious_products(edges).select("product_id", F.lit(1.0).alias("is_suspicious_product"))
     per_product = product_degree.join(bad, "product_id", "left")
     base = [order, "user_id", "product_id", "date", *([target] if target in df.columns else [])]
-    rows = attach(df.select(*base), per_user, "user_id", spread=order)
-    rows = attach(rows, per_product, "product_id", spread=order)
+    rows = attach(df.select(*base), per_user, "user_id")
+    rows = attach(rows, per_product, "product_id")
     rows = metadata_features(same_day_counts(rows, order=order), users, products, order=order)
     names = [c for c in GRAPH_FEATURES if c in rows.columns]
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]

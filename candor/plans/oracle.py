@@ -76,7 +76,7 @@ def _ranked_items(source: str, items: str, k: int, out: str) -> str:
     )
 
 
-TEXT_KEEP = "review_id, user_id, product_id, rating, date, verified_purchase"
+TEXT_KEEP = "review_id, user_id, product_id, rating, date"
 
 STATS = f"""
 len({T}) AS char_count, len(w) AS word_count,
@@ -449,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
     out["rating_distribution"] = reviews + "SELECT verified_purchase, rating, count(*) AS n FROM reviews_v GROUP BY 1, 2"
     out["verification_status"] = reviews + "SELECT verified_purchase, count(*) AS n FROM reviews_v GROUP BY 1"
     out["daily_burst_days"] = reviews + (
-        "SELECT CAST(date AS DATE) AS day, count(*) AS review_count, count(*) > 3 AS is_burst FROM reviews_v GROUP BY 1"
+        "SELECT date_trunc('day', date) AS day, count(*) AS review_count, count(*) > 3 AS is_burst FROM reviews_v GROUP BY 1"
     )
     out["flag_summary"] = sus + (
         f"SELECT count(CASE WHEN is_suspicious THEN 1 END) AS suspicious, count(*) AS total FROM ({_flags()}) f"

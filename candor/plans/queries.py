@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions import text as tx
-from candor.lineage import ensure_checkpoint_dir
+from candor.lineage import cut, ensure_checkpoint_dir
 from candor.models.ensemble import (
     BLEND, GRAPH, NLP, EnsembleModel, Training, ensemble_importances, feature_importances, train_ensemble,
 )
@@ -48,7 +48,7 @@ def _on(name: str, op: Callable[..., DataFrame], *, users: bool = False, product
 
 
 def _edges_of(name: str, op: Callable[..., DataFrame]) -> Query:
-    return _on(name, lambda df: op(graph.review_edges(df)))
+    return _on(name, lambda df: op(cut(graph.review_edges(df))))
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def _scan(name: str, parse: Callable[[DataFrame], DataFrame]) -> Query:
     return _on(name, lambda df: _ntz(parse(_as_text(df))))
 
 
-TEXT_DROP = ("review_text", "lang")
+TEXT_DROP = ("review_text", "lang", "verified_purchase")
 REVIEW = "review_id"
 
 
@@ -119,17 +119,13 @@ def _burst(key: str) -> Query:
     return _on("reviews_v", lambda df: behavior.burstiness(df, key))
 
 
-def _intervals(df: DataFrame) -> DataFrame:
-    return behavior.burst_intervals(df, "user_id")
-
-
 def _highlight(df: DataFrame, op: Callable[..., DataFrame]) -> DataFrame:
-    edges = graph.review_edges(df)
+    edges = cut(graph.review_edges(df))
     return op(edges, suspicious.suspicious_users(edges))
 
 
 def _cards(df: DataFrame) -> DataFrame:
-    edges = graph.review_edges(df)
+    edges = cut(graph.review_edges(df))
     return reports.summary_cards(df, suspicious.suspicious_users(edges), suspicious.suspicious_products(edges))
 
 
@@ -245,7 +241,7 @@ def _rules(df: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         # scans
-        "scan_reviews": _scan("reviews_v", parse_reviews),
+        "scan_reviews": _scan("reviews_v", lambda d: clean.coerce_rating(parse_reviews(d))),
         "scan_users": _scan("users_v", parse_users),
         "scan_products": _scan("products_v", parse_products),
         # cleaning, filters, flags
@@ -285,7 +281,9 @@ def queries() -> dict[str, Query]:
         "summary_cards": _on("rings_v", _cards),
         "rating_distribution": _on("reviews_v", reports.rating_distribution),
         "verification_status": _on("reviews_v", reports.verification_status),
-        "daily_burst_days": _on("reviews_v", reports.daily_burst_days),
+        "daily_burst_days": _on(
+            "reviews_v", lambda d: reports.daily_burst_days(d).withColumn("day", F.col("day").cast("timestamp_ntz"))
+        ),
         "flag_summary": _on("rings_v", lambda d: reports.flag_summary(_rules(d))),
         "network_stats": _on("rings_v", lambda d: _highlight(d, reports.network_stats)),
         "network_nodes": _on("rings_v", lambda d: _highlight(d, reports.network_nodes)),

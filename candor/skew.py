@@ -1,64 +1,23 @@
 """Joining per-key values back to rows when one key may hold a large share of them.
 
-The aggregate side always has few rows per key, but the row side may put a third of the
-table under one key.  Keys above ``HOT_ROWS`` rows are spread over ``ceil(rows / HOT_ROWS)``
-salts, so no task receives more than about ``HOT_ROWS`` rows of one key.  There can be at most
-``total rows / HOT_ROWS`` such keys, which is what bounds the broadcast of the hot-key list.
+Spark's adaptive execution splits a skewed partition of a sort-merge join into many tasks, but only if both
+inputs arrive through a shuffle of the join itself.  A table of per-key aggregates usually does not: it is
+already partitioned by the key and is joined in place, so a key with a third of all rows would end in one
+task.  Joining on the key *and its hash* makes Spark shuffle both inputs (the aggregate side is one row per
+key, hence cheap), and from there the hot partition is split by its measured size, with no key list, no
+counting pass and no replication of the other keys.  A small value side still becomes a broadcast, by size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 
-
-def _keys(key: str | Sequence[str]) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
-
-
-def salts_for(count: Column, hot_rows: int) -> Column:
-    """Number of salts of a key that holds ``count`` rows."""
-    return F.greatest(F.ceil(count / F.lit(hot_rows)), F.lit(1)).cast("int")
-
-
-def attach(
-    rows: DataFrame,
-    values: DataFrame,
-    key: str | Sequence[str],
-    *,
-    spread: str | Sequence[str],
-    count: str | None = None,
-    how: str = "left",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Equi-join ``values`` to ``rows`` on ``key``; ``spread`` names columns that tell rows of one key apart.
-
-    ``count`` is the column of ``values`` that says how many rows of ``rows`` share the key (an upper
-    bound is fine).  Without it the keys of ``rows`` are counted, a map-side combined pass over the
-    key columns only.
-    """
-    keys, hot_rows = _keys(key), hot_rows or HOT_ROWS
-    counted = (
-        values.groupBy(*keys).agg(F.max(count).alias("_rows"))
-        if count
-        else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    hot = counted.filter(F.col("_rows") > hot_rows).select(
-        *keys, salts_for(F.col("_rows"), hot_rows).alias("_salts")
-    )
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*_keys(spread)), F.col("_salts")).cast("int")
-        ),
-    ).drop("_salts")
-    right = (
-        values.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+def attach(rows: DataFrame, values: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join ``values`` to ``rows`` on ``key`` so that adaptive execution can split hot keys."""
+    keys = [key] if isinstance(key, str) else list(key)
+    mark = F.hash(*keys)
+    return rows.withColumn("_mark", mark).join(values.withColumn("_mark", mark), [*keys, "_mark"], how).drop("_mark")

@@ -5,13 +5,16 @@ users_v         metadata of those customers
 products_v      metadata of those parts
 text_reviews_v  documents as review texts
 market_v        orders reviewing parts: many one-review users, ratings follow the part
-rings_v         market_v plus look-alike groups built from all customers and all parts
+rings_v         market_v plus look-alike groups built from all customers and all parts, each member
+                leaving out a product now and then
 events_v        the event log as reviews: five products that every user reviewed
 scores_v        a label and two probabilities per order line
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = [
@@ -74,7 +77,7 @@ SELECT concat('ring-', CAST(c_custkey AS STRING), '-', CAST(p_partkey AS STRING)
        concat('u', CAST(c_custkey AS STRING)) AS user_id, concat('k', CAST(p_partkey AS STRING)) AS product_id,
        CASE WHEN (c_custkey + p_partkey) % 7 = 0 THEN CAST(4 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS rating,
        TIMESTAMP '1998-02-01 00:00:00' AS date, false AS verified_purchase
-FROM customer JOIN part ON floor(c_custkey / 10.0) = floor(p_partkey / 4.0)
+FROM customer JOIN part ON floor(c_custkey / 10.0) = floor(p_partkey / 4.0) AND (c_custkey * 3 + p_partkey * 5) % 13 <> 0
 """
 
 EVENTS_V = """
@@ -102,14 +105,16 @@ VIEWS = {
 }
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
+def register_tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Make the tables that ``sql`` names available as temporary views."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view over the parquet tables of ``sf_dir``."""
-    register_tables(spark, sf_dir)
+    register_tables(spark, sf_dir, VIEWS[name])
     df = spark.sql(VIEWS[name])
     for column, kind in df.dtypes:
         if kind == "timestamp_ltz":
