@@ -39,8 +39,8 @@ def clean(text: Column) -> Column:
 def tokens(cleaned: Column, remove_stop_words: bool = True, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of cleaned text, with fused words taken apart and typographic quotes split off."""
     t = F.regexp_replace(cleaned, "([«“‘„»”’])", " $1 ")
-    for whole, (head, tail) in FUSED_WORDS.items():
-        t = F.regexp_replace(t, rf"(?U)\b{whole}\b", f"{head} {tail}")
+    heads = "|".join(rf"{head}(?={tail}\b)" for head, tail in FUSED_WORDS.values())
+    t = F.regexp_replace(t, rf"(?U)\b({heads})", "$1 ")
     words = F.filter(F.split(t, " "), lambda w: w != "")
     if remove_stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
@@ -60,7 +60,7 @@ def top_items(items: Column, k: int) -> Column:
 
     Counting stays inside the row (sort, then run lengths), so no shuffle is needed.
     """
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("ngram"), i.alias("pos"))))
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(x.alias("ngram"), i.alias("pos"))))
 
     def runs(arr: Column) -> Column:
         n = F.size(arr)
@@ -80,7 +80,7 @@ def top_items(items: Column, k: int) -> Column:
             ),
         )
 
-    ranked = F.slice(F.array_sort(let(keyed, runs)), 1, k)
+    ranked = F.slice(F.sort_array(let(keyed, runs)), 1, k)
     picked = F.transform(ranked, lambda r: F.struct(r["ngram"].alias("ngram"), (-r["neg"]).cast("long").alias("count")))
     empty = F.array().cast("array<struct<ngram:string,count:bigint>>")
     return F.when(F.size(items) > 0, picked).otherwise(empty)

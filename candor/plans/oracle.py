@@ -18,8 +18,8 @@ def _with(*names: str, **ctes: str) -> str:
 
 
 def _round(sql: str, *columns: str, prefix: str = "") -> str:
-    """Round the named columns of a query to six places."""
-    replace = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
+    """Round the named columns of a query to six places, nudged off exact halves like the queries."""
+    replace = ", ".join(f"round({c} + CAST(1e-9 AS DOUBLE), 6) + 0.0 AS {c}" for c in columns)
     return f"{prefix}SELECT * REPLACE ({replace}) FROM ({sql}) AS q"
 
 

@@ -24,13 +24,14 @@ from candor.sources.views import view
 Query = Callable[[SparkSession, str], DataFrame]
 
 PLACES = 6
+NUDGE = 1e-9  # moves values that lie exactly between two roundings, so that the last bit of a sum does not decide
 TEXT_FOREST = {"trees": 20, "depth": 8}
 GRAPH_FOREST = {"trees": 20, "depth": 8}
 
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places (and no negative zero), so that summation order does not show."""
-    return df.select(*[(F.round(c, PLACES) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + NUDGE, PLACES) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _on(name: str, op: Callable[..., DataFrame], *, users: bool = False, products: bool = False, drop=()) -> Query:
