@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.functions.lexicons import ASCII_PUNCTUATION, COUNTED_PUNCTUATION, FUSED_WORDS, STOP_WORDS
@@ -55,6 +55,11 @@ def ngrams(words: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def entries(df: DataFrame, keep: Sequence[str], items: Column, name: str) -> DataFrame:
+    """One row per array entry.  The outer form keeps the optimizer from evaluating ``items`` twice, once to filter."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def top_items(items: Column, k: int) -> Column:
     """The ``k`` most frequent array entries as ``array<struct<ngram,count>>``; ties keep first appearance.
 
