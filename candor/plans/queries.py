@@ -178,9 +178,10 @@ def _nlp_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _text_reviews(spark, sf_dir)
     model = Pipeline(stages=tfidf_stages()).fit(rows)
     vocabulary = F.array(*[F.lit(w) for w in model.stages[1].vocabulary])
-    vectors = model.transform(rows).select(REVIEW, F.posexplode(vector_to_array("features")).alias("i", "weight"))
+    entries = F.transform(vector_to_array("features"), lambda w, i: F.struct(i.alias("i"), w.alias("weight")))
+    present = tx.entries(model.transform(rows), [REVIEW], F.filter(entries, lambda e: e["weight"] > 0), "_e")
     return rounded(
-        vectors.filter("weight > 0").select(REVIEW, F.element_at(vocabulary, F.col("i") + 1).alias("term"), "weight")
+        present.select(REVIEW, F.element_at(vocabulary, F.col("_e.i") + 1).alias("term"), F.col("_e.weight").alias("weight"))
     )
 
 
