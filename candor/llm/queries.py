@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import language, mixing, packing, pii, repetition, simhash
+from candor.llm import language, mixing, packing, pii, repetition, secrets, simhash
 from candor.llm.common import crc_mod, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op6_curriculum": op6_curriculum,
     "op7_packing": op7_packing,
     "op8_repetition": op8_repetition,
+    "op9_secrets": op9_secrets,
 }
 
 #: Targets by recursion-free water level, prefix sums by plain windows: the same arithmetic in the same order.
