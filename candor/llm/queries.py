@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import language, mixing, packing, pii, repetition, secrets, simhash
+from candor.llm import iblt, language, mixing, packing, pii, repetition, secrets, simhash
 from candor.llm.common import crc_mod, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, net).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(documents(spark, sf_dir))
+
+
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_iblt": op4_iblt,
     "op6_curriculum": op6_curriculum,
     "op7_packing": op7_packing,
     "op8_repetition": op8_repetition,

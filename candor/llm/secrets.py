@@ -176,6 +176,10 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["number"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(number: int):
+    return lambda s: s["number"] == number
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, alpha: float = ALPHA) -> DataFrame:
     """One row per document: counts and digest of the base spans, all spans, and the number of random ones."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -183,5 +187,5 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = texts.select("doc_id", F.array_sort(base_spans(F.col("text"))).alias("base"), _random(F.col("text"), structured).alias("random"))
     apart = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     found = found.withColumn("added", apart).withColumn("every", F.array_sort(F.concat("base", "added")))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["number"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("every")).alias("spans"), F.size("added").cast("long").alias("n_random"))
