@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import iblt, language, mixing, packing, pii, repetition, secrets, simhash
+from candor.llm import ctw, iblt, kneser_ney, language, mixing, packing, pii, repetition, secrets, simhash
 from candor.llm.common import crc_mod, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(documents(spark, sf_dir))
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(documents(spark, sf_dir))
+
+
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
@@ -47,15 +51,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_iblt": op4_iblt,
+    "op5_ctw": op5_ctw,
     "op6_curriculum": op6_curriculum,
     "op7_packing": op7_packing,
     "op8_repetition": op8_repetition,
     "op9_secrets": op9_secrets,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 #: Targets by recursion-free water level, prefix sums by plain windows: the same arithmetic in the same order.
