@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from candor.llm.common import slices, stored
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 28 << 20
 END = 0xFF
 GRAM, TOKEN, TEXTS = 0, 1, 2  # kinds of rows
 END_TOKEN = b"\xff"
@@ -61,6 +61,43 @@ def token_code(token: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+class Held:
+    """A block while it grows: its texts, and the n-grams and words of each slice with their training counts."""
+
+    def __init__(self, n: int, words: bool):
+        self.n, self.words, self.size = n, words, 0
+        self.payload: list[list] = []
+        self.bodies: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen: set[bytes] = set()
+        self.known: Counter = Counter()
+
+    def add(self, texts: list, payload: list[list], learn: list[bool]) -> None:
+        split = [tokens(t) for t in texts]
+        bodies = [b" ".join(w) + END_TOKEN for w in split]
+        self.payload = [a + b for a, b in zip(self.payload, payload)] if self.payload else payload
+        self.bodies += bodies
+        self.size += sum(map(len, bodies))
+        own = [b for b, yes in zip(bodies, learn) if yes]
+        other = [b for b, yes in zip(bodies, learn) if not yes]
+        if own:
+            self.parts.append(np.unique(codes(own, self.n)[0], return_counts=True))
+        if other:
+            asked = np.unique(codes(other, self.n)[0])
+            self.parts.append((asked, np.zeros(len(asked), np.int64)))
+        if self.words:
+            self.seen.update(*split)
+            for w, yes in zip(split, learn):
+                if yes:
+                    self.known.update(w)
+            self.known[END_TOKEN] += sum(learn)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        every, place = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([n for _, n in self.parts]), len(every))
+        return every.astype(np.int64), counts.astype(np.int64)
+
+
 def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[dict], list[bool]], *, words: bool) -> DataFrame:
     """The stored table of blocks: rows of n-grams, of words (if asked) and of texts.
 
@@ -68,25 +105,11 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
     """
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
-    def rows(block: int, columns: dict) -> Iterator[pa.RecordBatch]:
-        split = [tokens(t) for t in columns["text"]]
-        bodies = [b" ".join(w) + END_TOKEN for w in split]
-        learn = trained(columns)
-        seen = np.unique(codes(bodies, n)[0])
-        counts = np.zeros(len(seen), np.int64)
-        own = [b for b, yes in zip(bodies, learn) if yes]
-        if own:
-            found, times = np.unique(codes(own, n)[0], return_counts=True)
-            counts[np.searchsorted(seen, found)] = times
-        parts = [(GRAM, seen.astype(np.int64), counts)]
+    def rows(block: int, held: Held) -> Iterator[pa.RecordBatch]:
+        parts = [(GRAM, *held.grams())]
         if words:
-            known = Counter()
-            for w, yes in zip(split, learn):
-                if yes:
-                    known.update(w)
-            every = {END_TOKEN}.union(*split)
-            known[END_TOKEN] = sum(learn)
-            parts.append((TOKEN, np.fromiter(map(token_code, every), np.int64, len(every)), np.fromiter((known[w] for w in every), np.int64, len(every))))
+            every = {END_TOKEN, *held.seen}
+            parts.append((TOKEN, np.fromiter(map(token_code, every), np.int64, len(every)), np.fromiter((held.known[w] for w in every), np.int64, len(every))))
         for kind, code, times in parts:
             for at in range(0, len(code), 1 << 16):
                 some = code[at : at + (1 << 16)]
@@ -94,21 +117,21 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(size, block)), pa.array(np.full(size, kind, np.int32)), pa.array(some), pa.array(times[at : at + size]), pa.nulls(size, pa.binary())], schema=arrow
                 )
-        kept = pickle.dumps(([columns[c] for c in payload], bodies))
-        packed = zstandard.ZstdCompressor(level=3).compress(kept)
-        yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXTS], "code": [0], "n": [len(bodies)], "texts": [packed]}, schema=arrow)
+        packed = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((held.payload, held.bodies)))
+        yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXTS], "code": [0], "n": [len(held.bodies)], "texts": [packed]}, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, held = TaskContext.get().partitionId() << 32, Held(n, words)
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(part)
-                size += part.column("text").nbytes if part.num_rows else 0
-                if size >= BLOCK_BYTES:
-                    yield from rows(block, pa.Table.from_batches(held).to_pydict())
-                    block, held, size = block + 1, [], 0
-        if size:
-            yield from rows(block, pa.Table.from_batches(held).to_pydict())
+                if part.num_rows:
+                    columns = part.to_pydict()
+                    held.add(columns["text"], [columns[c] for c in payload], trained(columns))
+                if held.size >= BLOCK_BYTES:
+                    yield from rows(block, held)
+                    block, held = block + 1, Held(n, words)
+        if held.bodies:
+            yield from rows(block, held)
 
     return stored(docs.select("text", *payload).mapInArrow(run, SCHEMA), "blocks")
 

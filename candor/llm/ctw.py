@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from candor.llm import blocks
 
-DEPTH = 3
+DEPTH = 4
 HALF = math.log(0.5)
 
 
@@ -120,7 +120,7 @@ def _held_out(ids: list) -> list[bool]:
 
 
 SCHEMA = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+    "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double"
 )
 
 
@@ -132,13 +132,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = built.filter(F.col("kind") == blocks.TOKEN).select("block", "code", "n")
     values = byte_scores(grams.groupBy("code").agg(F.sum("n").alias("n")))
     answers = grams.select("block", "code").join(values, "code").select("block", F.lit(blocks.GRAM).alias("kind"), "code", "value")
-    counted = words.withColumn("value", F.sum("n").over(Window.partitionBy("code")).cast("double"))
-    vocabulary = words.groupBy("code").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    total, distinct = vocabulary["n"], vocabulary["v"]
-    answers = answers.unionByName(counted.select("block", F.lit(blocks.TOKEN).alias("kind"), "code", "value"))
+    # One exchange of the words serves their counts and the size of the vocabulary.
+    code = Window.partitionBy("code")
+    counted = words.withColumn("c", F.sum("n").over(code)).withColumn("first", F.row_number().over(code.orderBy("block")) == 1)
+    answers = answers.unionByName(counted.select("block", F.lit(blocks.TOKEN).alias("kind"), "code", F.col("c").cast("double").alias("value")))
+    whole = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1)).alias("_v"))
 
     def told(payload, bodies, logs, counts) -> dict:
-        share = total + 0.5 * (distinct + 1)
         worth: dict[bytes, tuple[float, int]] = {}
         out = {"n_tokens": [], "n_known": [], "base_score": []}
         for body in bodies:
@@ -147,7 +147,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for w in split:
                 if (x := worth.get(w)) is None:
                     c = counts[blocks.token_code(w)]
-                    x = worth[w] = (math.log10((c + 0.5) / share), int(c > 0))
+                    x = worth[w] = (math.log10(c + 0.5), int(c > 0))
                 score += x[0]
                 known += x[1]
             out["n_tokens"].append(len(split))
@@ -155,8 +155,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out["base_score"].append(score)
         sizes = np.array([len(b) for b in bodies])
         return {
-            "doc_id": pd.array(payload[0], "Int64"), "held_out": _held_out(payload[0]), **out, "train_tokens": total, "score": logs,
+            "doc_id": pd.array(payload[0], "Int64"), "held_out": _held_out(payload[0]), **out, "score": logs,
             "n_bytes": sizes, "bits_per_byte": -logs * math.log2(10) / sizes,
         }
 
-    return blocks.score(built, answers, DEPTH + 1, told, SCHEMA)
+    out = blocks.score(built, answers, DEPTH + 1, told, SCHEMA).crossJoin(F.broadcast(whole))  # one row
+    share = F.log10(F.col("train_tokens") + 0.5 * (F.col("_v") + 1))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.col("base_score") - F.col("n_tokens") * share).alias("base_score"),
+        "score", "n_bytes", "bits_per_byte",
+    )
