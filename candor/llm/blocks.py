@@ -117,7 +117,7 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(size, block)), pa.array(np.full(size, kind, np.int32)), pa.array(some), pa.array(times[at : at + size]), pa.nulls(size, pa.binary())], schema=arrow
                 )
-        packed = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((held.payload, held.bodies)))
+        packed = zstandard.ZstdCompressor(level=12).compress(pickle.dumps((held.payload, held.bodies)))
         yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXTS], "code": [0], "n": [len(held.bodies)], "texts": [packed]}, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
