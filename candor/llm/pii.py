@@ -184,7 +184,7 @@ TRANSDUCERS = (_fold_lookalikes, _undo_at_dot, _undo_spelled)
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the normalised text shows, by kind, none touching a plain span of its kind."""
+    """Spans that only the normalised text shows, by kind, none inside a plain span of its kind."""
     steps: list[Rewrite] = []
     current = text
     for transducer in TRANSDUCERS:
@@ -202,8 +202,8 @@ def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
         for span in spans:
             for step in reversed(steps):
                 span = step.back(span)
-            i = bisect_right(starts, span[1] - 1) - 1
-            if span[0] >= free and (i < 0 or taken[i][1] <= span[0]):
+            i = bisect_right(starts, span[0]) - 1
+            if span[0] >= free and (i < 0 or taken[i][1] < span[1]):
                 out[kind].append(span)
                 free = span[1]
     return out
