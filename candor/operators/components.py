@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from candor.lineage import cut
 from candor.skew import attach
 
-MAX_ROUNDS = 60
-
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
     """Edges (src, dst) with the smallest neighbour of ``src``."""
@@ -20,11 +18,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first())
 
 
-def connected_components(pairs: DataFrame, a: str, b: str, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of ``pairs``; the component is its smallest node.
 
-    Each round is written to the checkpoint folder.  Running out of rounds is an error, never a partial
-    answer.
+    Each round is written to the checkpoint folder; rounds go on until none changes an edge.
     """
     edges = cut(
         pairs.filter(F.col(a) != F.col(b))
@@ -32,7 +29,7 @@ def connected_components(pairs: DataFrame, a: str, b: str, *, max_rounds: int =
         .distinct()
     )
     before = _state(edges)
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         large = (
             _with_minimum(both)
@@ -51,4 +48,3 @@ def connected_components(pairs: DataFrame, a: str, b: str, *, max_rounds: int =
             roots = edges.select(F.col("dst").alias("node")).distinct().withColumn("component", F.col("node"))
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
         before = after
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -12,12 +12,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _hashed(rows: DataFrame, values: DataFrame, keys: list[str]) -> list[Column]:
+    """The keys in one type for both inputs, so that equal keys have equal hashes."""
+    ours, theirs = dict(rows.dtypes), dict(values.dtypes)
+    out = []
+    for k in keys:
+        kinds = {ours[k], theirs[k]}
+        if len(kinds) == 1:
+            out.append(F.col(k))
+        elif kinds <= _WHOLE | {"string"}:
+            out.append(F.col(k).try_cast("bigint"))
+        else:
+            raise TypeError(f"key {k} is {ours[k]} in the rows and {theirs[k]} in the values")
+    return out
+
+
 def attach(rows: DataFrame, values: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join ``values`` to ``rows`` on ``key`` so that adaptive execution can split hot keys."""
+    """Equi-join ``values`` to ``rows`` on ``key`` so that adaptive execution can split hot keys.
+
+    Keys of different whole-number types, or numbers on one side and their text on the other, meet as in a plain join;
+    other differing types are an error.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    mark = F.hash(*keys)
+    mark = F.hash(*_hashed(rows, values, keys))
     return rows.withColumn("_mark", mark).join(values.withColumn("_mark", mark), [*keys, "_mark"], how).drop("_mark")

@@ -116,8 +116,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view over the parquet tables of ``sf_dir``."""
     register_tables(spark, sf_dir, VIEWS[name])
     df = spark.sql(VIEWS[name])
-    if "review_text" in df.columns and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        # Text work is bound by the processor: a small file should not leave cores idle.
+    if "review_text" in df.columns:
+        # Text work is bound by the processor: a few large files should not leave cores idle.
         df = df.repartition(spark.sparkContext.defaultParallelism, "review_id")
     for column, kind in df.dtypes:
         if kind == "timestamp_ltz":

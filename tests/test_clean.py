@@ -97,3 +97,15 @@ def test_sample(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("review_id"))
     assert clean.fixed_sample(df).exceptAll(clean.fixed_sample(df.repartition(5))).isEmpty()
     assert clean.fixed_sample(df).count() == 100 and clean.fixed_sample(df.limit(7)).count() == 7
+
+
+def test_attach_meets_keys_of_different_types(spark):
+    from candor.skew import attach
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (7, "c")], "k int, v string")
+    for kind in ("int", "bigint", "string"):
+        values = spark.createDataFrame([(1, "x"), (2, "y")], "k int, w string").selectExpr(f"cast(k as {kind}) k", "w")
+        got = {(r["v"], r["w"]) for r in attach(rows, values, "k").collect()}
+        assert got == {("a", "x"), ("b", "y"), ("c", None)}
+    with pytest.raises(TypeError):
+        attach(rows, spark.createDataFrame([(1.5, "x")], "k double, w string"), "k")
