@@ -288,10 +288,9 @@ WEIGHTS = (
 
 def _flags(source_cte: str = "rings_v") -> str:
     return (
-        "SELECT r.*, r.user_id IN (SELECT user_id FROM bad_users) AS is_suspicious_user, "
-        "r.product_id IN (SELECT product_id FROM bad_products) AS is_suspicious_product, "
-        "(r.user_id IN (SELECT user_id FROM bad_users) OR r.product_id IN (SELECT product_id FROM bad_products)) AS is_suspicious "
-        f"FROM {source_cte} r"
+        "SELECT r.*, u.user_id IS NOT NULL AS is_suspicious_user, p.product_id IS NOT NULL AS is_suspicious_product, "
+        "(u.user_id IS NOT NULL OR p.product_id IS NOT NULL) AS is_suspicious "
+        f"FROM {source_cte} r LEFT JOIN bad_users u ON u.user_id = r.user_id LEFT JOIN bad_products p ON p.product_id = r.product_id"
     )
 
 
