@@ -38,7 +38,22 @@ def user_profiles(edges: DataFrame) -> DataFrame:
 
 
 def user_pair_similarity(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    return user_pairs(edges, cut(user_profiles(edges)), min_similarity=min_similarity)
+    """Pairs of profiles, and each profile of several users with itself: its members are alike in everything.
+
+    ``user_profiles`` has the members of a profile, so every similar pair of users can be read off both tables.
+    """
+    membership = cut(user_profiles(edges))
+    one = F.lit(1.0)
+    twins = _shared_profiles(membership, "user_id").select(
+        F.col("profile").alias("user_1"), F.col("profile").alias("user_2"), F.col("members").alias("members_1"),
+        F.col("members").alias("members_2"), F.col("size").alias("shared"), one.alias("jaccard"), one.alias("rating_similarity"), one.alias("similarity"),
+    )
+    return user_pairs(edges, membership, min_similarity=min_similarity).unionByName(twins)
+
+
+def _shared_profiles(membership: DataFrame, key: str) -> DataFrame:
+    """One row per profile that several sets have."""
+    return membership.filter((F.col(key) == F.col("profile")) & (F.col("members") > 1))
 
 
 def product_profiles(edges: DataFrame) -> DataFrame:
@@ -59,7 +74,13 @@ def product_pairs(edges: DataFrame, membership: DataFrame, *, min_similarity: fl
 
 
 def product_pair_similarity(edges: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    return product_pairs(edges, cut(product_profiles(edges)), min_similarity=min_similarity)
+    """Pairs of profiles, and each profile of several products with itself if it has enough reviewers."""
+    membership = cut(product_profiles(edges))
+    twins = _shared_profiles(membership, "product_id").filter(F.col("size") >= MIN_SHARED_REVIEWERS).select(
+        F.col("profile").alias("product_1"), F.col("profile").alias("product_2"), F.col("members").alias("members_1"),
+        F.col("members").alias("members_2"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"),
+    )
+    return product_pairs(edges, membership, min_similarity=min_similarity).unionByName(twins)
 
 
 def _flagged_members(membership: DataFrame, pairs: DataFrame, a: str, b: str, key: str, min_size: int) -> DataFrame:

@@ -134,16 +134,17 @@ USER_PAIRS = {
     "edges": _edges("rings_v"),
     "uprof": "SELECT user_id, count(*) AS size, string_agg(product_id || '=' || rating, ',' ORDER BY product_id) AS k FROM edges GROUP BY user_id",
     "umem": "SELECT user_id, size, min(user_id) OVER (PARTITION BY k) AS profile, count(*) OVER (PARTITION BY k) AS members FROM uprof",
-    "urep": "SELECT user_id, size, members FROM umem WHERE user_id = profile",
-    "upair": "SELECT a.user_id AS user_1, b.user_id AS user_2, ra.members AS members_1, rb.members AS members_2, count(*) AS shared, "
-    "count(*) / CAST(ra.size + rb.size - count(*) AS DOUBLE) AS jaccard, avg(1.0 - abs(a.rating - b.rating) / 5.0) AS rating_similarity "
-    "FROM edges a JOIN urep ra ON ra.user_id = a.user_id JOIN edges b ON a.product_id = b.product_id AND a.user_id < b.user_id "
-    "JOIN urep rb ON rb.user_id = b.user_id GROUP BY ALL_KEYS",
+    # All pairs of users; the profiles only name them.
+    "upair": "SELECT a.user_id AS a, b.user_id AS b, count(*) AS shared, count(*) / CAST(x.size + y.size - count(*) AS DOUBLE) AS jaccard, "
+    "avg(1.0 - abs(a.rating - b.rating) / 5.0) AS rating_similarity FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.user_id < b.user_id "
+    "JOIN uprof x ON x.user_id = a.user_id JOIN uprof y ON y.user_id = b.user_id GROUP BY a.user_id, b.user_id, x.size, y.size",
+    "usim": "SELECT user_1, user_2, members_1, members_2, min(shared) AS shared, min(jaccard) AS jaccard, min(rating_similarity) AS rating_similarity, "
+    "min((jaccard + rating_similarity) / 2) AS similarity FROM (SELECT p.*, least(x.profile, y.profile) AS user_1, greatest(x.profile, y.profile) AS user_2, "
+    "CASE WHEN x.profile <= y.profile THEN x.members ELSE y.members END AS members_1, "
+    "CASE WHEN x.profile <= y.profile THEN y.members ELSE x.members END AS members_2 FROM upair p JOIN umem x ON x.user_id = a JOIN umem y ON y.user_id = b "
+    "WHERE (jaccard + rating_similarity) / 2 >= 0.7) AS q GROUP BY ALL_KEYS",
 }
-USER_PAIRS["upair"] = USER_PAIRS["upair"].replace(
-    "ALL_KEYS", "a.user_id, b.user_id, ra.members, rb.members, ra.size, rb.size"
-)
-USER_PAIRS["usim"] = "SELECT *, (jaccard + rating_similarity) / 2 AS similarity FROM upair WHERE (jaccard + rating_similarity) / 2 >= 0.7"
+USER_PAIRS["usim"] = USER_PAIRS["usim"].replace("ALL_KEYS", "user_1, user_2, members_1, members_2")
 # Independent of profiles: all pairs of users.
 SUSPICIOUS_USERS = {
     "edges": _edges("rings_v"),
@@ -168,7 +169,6 @@ PRODUCT_PROFILES = {
     "edges": _edges("rings_v"),
     "pprof": "SELECT product_id, count(*) AS size, string_agg(user_id, ',' ORDER BY user_id) AS k FROM edges GROUP BY product_id",
     "pmem": "SELECT product_id, size, min(product_id) OVER (PARTITION BY k) AS profile, count(*) OVER (PARTITION BY k) AS members FROM pprof",
-    "prep": "SELECT product_id, size, members FROM pmem WHERE product_id = profile",
 }
 
 
@@ -488,10 +488,15 @@ def oracle_sql() -> dict[str, str]:
     )
     out["user_pair_similarity"] = _round("SELECT * FROM usim", "jaccard", "rating_similarity", "similarity", prefix=_with("rings_v", **USER_PAIRS))
     out["product_pair_similarity"] = _round(
-        "SELECT a AS product_1, b AS product_2, x.members AS members_1, y.members AS members_2, shared, jaccard FROM pairs "
-        "JOIN prep x ON x.product_id = a JOIN prep y ON y.product_id = b",
+        "SELECT product_1, product_2, members_1, members_2, min(shared) AS shared, min(jaccard) AS jaccard FROM (SELECT shared, jaccard, "
+        "least(x.profile, y.profile) AS product_1, greatest(x.profile, y.profile) AS product_2, "
+        "CASE WHEN x.profile <= y.profile THEN x.members ELSE y.members END AS members_1, "
+        "CASE WHEN x.profile <= y.profile THEN y.members ELSE x.members END AS members_2 "
+        "FROM pairs JOIN pmem x ON x.product_id = a JOIN pmem y ON y.product_id = b) AS q GROUP BY 1, 2, 3, 4",
         "jaccard", prefix=_with("rings_v", **{**PRODUCT_PAIRS, **PRODUCT_PROFILES}),
     )
+    out["user_profile_members"] = _with("rings_v", **{k: USER_PAIRS[k] for k in ("edges", "uprof", "umem")}) + "SELECT user_id, profile, members, size FROM umem"
+    out["product_profile_members"] = _with("rings_v", **PRODUCT_PROFILES) + "SELECT product_id, profile, members, size FROM pmem"
     out["suspicious_users"] = sus + "SELECT user_id FROM bad_users"
     out["suspicious_products"] = _round("SELECT * FROM bad_products", "avg_rating", "rating_variance", "high_rating_pct", prefix=sus)
     out["suspicious_user_groups"] = sus.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _closure("user_id")

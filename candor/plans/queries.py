@@ -298,6 +298,8 @@ def queries() -> dict[str, Query]:
         "neighbor_avg_degree": _on("reviews_v", _neighbor_degree),
         "user_pair_similarity": _edges_of("rings_v", suspicious.user_pair_similarity),
         "product_pair_similarity": _edges_of("rings_v", suspicious.product_pair_similarity),
+        "user_profile_members": _edges_of("rings_v", suspicious.user_profiles),
+        "product_profile_members": _edges_of("rings_v", suspicious.product_profiles),
         "suspicious_users": _edges_of("rings_v", suspicious.suspicious_users),
         "suspicious_products": _edges_of("rings_v", suspicious.suspicious_products),
         "suspicious_user_groups": _edges_of("rings_v", suspicious.suspicious_user_groups),
