@@ -18,7 +18,9 @@ from candor.lineage import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = " \t\n\r\x0b\x0c"
 #: Texts handed to Python at once, so that memory follows this bound and the longest single text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_BATCH = "67108864b"  # Spark's default of that
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -30,6 +32,15 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark send Python SLICE_BYTES or little more at once, where the session has no bound of its own.
+
+    By default a batch is ten thousand rows or 64 MB, held off the heap by the JVM and again by each worker.
+    """
+    if spark.conf.get(_BATCH_BYTES) == _SPARKS_BATCH:
+        spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about SLICE_BYTES of ``column`` each; a longer single row is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -45,6 +56,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, column: str = "text") -> DataFrame:
     """Apply ``make()``, a function from columns to columns (lists), to slices of ``df``."""
+    bound_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ like others unless a stage says so; empty tables stay empty.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from candor.llm import language, mixing, packing, pii, simhash
-from candor.llm.common import WORD, crc_mod
+from candor.llm.common import WORD, bound_batches, crc_mod
 
 LEAST_SCORE = 0.35  # of the best language; even odds of four languages are 0.25
 
@@ -29,12 +30,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     that have a letter."""
     net = language.train_on(docs, crc_mod("doc_id", 3) != 1)
 
+    bound_batches(spark)
+
     @pandas_udf("boolean")
-    def told(texts: pd.Series) -> pd.Series:
-        if net is None:
-            return texts.map(lambda t: bool(t and language._LETTER.search(t)))
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = language.predictor(net)
-        return pd.Series([label != language.UNKNOWN and score >= LEAST_SCORE for label, score in run([t or None for t in texts])])
+        for texts in batches:
+            if net is None:
+                yield texts.map(lambda t: bool(t and language._LETTER.search(t))).astype(bool)
+            else:
+                yield pd.Series([label != language.UNKNOWN and score >= LEAST_SCORE for label, score in run([t or None for t in texts])], dtype=bool)
 
     return docs.filter(told("text"))
 
@@ -60,6 +65,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every span replaced by its kind in brackets; n_chars follows where the table has it."""
+    bound_batches(spark)
     masked = pandas_udf(lambda texts: texts.map(pii.redact), "string")
     out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
