@@ -155,7 +155,7 @@ def trained(spark: SparkSession, sf_dir: str) -> Training:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trained:
         _trained[key] = train_ensemble(
-            _labelled_text(spark, sf_dir), view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v"),
+            _text_reviews(spark, sf_dir), view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v"),
             text=TEXT_FOREST, graph=GRAPH_FOREST,
         )
     return _trained[key]
@@ -217,7 +217,8 @@ def _score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _text_reviews(spark, sf_dir)
     new = rows.filter(F.col("verified_purchase").isNull())
     history = rows.filter(F.col("verified_purchase").isNotNull())
-    return rounded(score_batch(new, history, trained(spark, sf_dir).model).drop("review_text"))
+    metadata = view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v")
+    return rounded(score_batch(new, history, trained(spark, sf_dir).model, *metadata).drop("review_text"))
 
 
 def _train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,14 +154,13 @@ def betweenness(edges, pivots=None):
     return {k: v * scale for k, v in score.items()}
 
 
-def eigenvector(edges, rounds=100, tolerance=1e-6):
+def eigenvector(edges, rounds=1000, tolerance=1e-6):
     graph = bipartite(edges)
-    n = len(graph)
-    x = dict.fromkeys(graph, 1 / n)
+    x = dict.fromkeys(graph, 1 / len(graph))
     for _ in range(rounds):
         last, x = x, {v: x[v] + sum(x[w] for w in graph[v]) for v in graph}
         norm = math.sqrt(sum(v * v for v in x.values()))
         x = {k: v / norm for k, v in x.items()}
-        if sum(abs(x[k] - last[k]) for k in x) < n * tolerance:
+        if sum(abs(x[k] - last[k]) for k in x) < sum(x.values()) * tolerance:
             return x
     return None

@@ -86,12 +86,12 @@ def test_centralities(spark, hub_rows):
     assert got == pytest.approx(betweenness(edges))
     some = centrality.betweenness_centrality(df, pivots=4)
     assert some.count() == len(bipartite(edges))
-    rows = centrality.eigenvector_centrality(df, max_rounds=400, hub_rows=hub_rows).collect()
-    want = eigenvector(edges, rounds=400)
+    rows = centrality.eigenvector_centrality(df, hub_rows=hub_rows).collect()
+    want = eigenvector(edges)
     assert want is not None and all(r.converged for r in rows)
     assert {(r.kind, r.id): r.centrality for r in rows} == pytest.approx(want)
     stopped = centrality.eigenvector_centrality(df, max_rounds=2).collect()
-    assert {(r.centrality, r.converged) for r in stopped} == {(0.0, False)}
+    assert not any(r.converged for r in stopped) and all(r.centrality > 0 for r in stopped)
 
 
 def test_components(spark):
