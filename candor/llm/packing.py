@@ -1,14 +1,16 @@
 """Packing documents into training sequences with the help of lexical retrieval.
 
 Documents are tokenised once into a table of ids in the shared folder; document frequencies of all token ids come
-from one pass over it (bounded by the vocabulary).  Shards are runs of ``SHARD`` tails of a partition.  Each holds a BM25
-inverted index over the tails; the longest unused tail is the seed of a sequence, its unused neighbours by score
+from one pass over it (bounded by the vocabulary).  Tails are ordered by content: by the ids that are smallest under
+``ROUTES`` random orders in which rare ids come early (weighted minhash), so that near copies and tails sharing rare words
+lie together wherever the input had them; a route that many share is ordered by the next, and by a hash of the document's
+id at last.  Shards are runs of ``SHARD`` tails in that order.  Each holds a BM25 inverted index over the tails; the longest unused tail is the seed of a sequence, its unused neighbours by score
 fill the window whole where they fit, and the best remaining one is cut at its end, so that only a shard's last sequence
 is short.  That one is dealt into sequences whose lengths are powers of two, which need no padding.  Documents
 longer than a window give full sequences first; the index holds what is left over.
 
 Null text counts as empty (only the closing id); null ids stay; repeated rows are packed as rows of their own; other
-columns are ignored.  Memory follows a shard, a vocabulary and the longest single document.
+columns are ignored.  Sequences do not follow the order of the input.  Memory follows a shard, a vocabulary and the longest single document.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WINDOW = 2048
 CLOSING = 1
 SHARD = 256
+ROUTES = 3
+RARE = 2.0  # power of the IDF that draws an id to the front of a route's order
 K1, B = 1.2, 0.75
 CACHE = 300_000  # words whose ids a worker remembers
 
@@ -142,6 +146,40 @@ def document_frequencies(tokens: DataFrame, path: str = VOCABULARY) -> tuple[np.
     return frequencies, sums.get(-1, 0), sums.get(-2, 0) / max(1, sums.get(-1, 0))
 
 
+def orders(frequencies: np.ndarray, idf: np.ndarray, routes: int = ROUTES) -> np.ndarray:
+    """The place of each id in each of the random orders; ids that nothing shares, or that say nothing, come last, as one."""
+    useful = (frequencies > 1) & (idf > 0)
+    out = np.full((routes, len(idf)), len(idf), np.int32)
+    for k in range(routes):
+        early = np.random.default_rng(k).exponential(size=len(idf))[useful] / idf[useful] ** RARE
+        out[k, np.flatnonzero(useful)[np.argsort(early, kind="stable")]] = np.arange(useful.sum())
+    return out
+
+
+def routed(tokens: DataFrame, places: np.ndarray, kind: np.dtype, window: int, partitions: int) -> DataFrame:
+    """``tokens`` dealt to partitions, and ordered there, so that lexical neighbours lie together."""
+    names = [f"r{k}" for k in range(len(places))]
+    schema = ", ".join(["doc_id long, ids binary", *(f"{r} int" for r in names), "tie long, row long"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(b, kind) for b in batch.column("ids").to_pylist()]
+            tails = [p[len(p) // window * window :] for p in parts]
+            filled = np.flatnonzero([len(t) > 0 for t in tails])
+            found = np.full((len(places), len(parts)), places.shape[1], np.int32)
+            if len(filled):
+                ids = np.concatenate([tails[i] for i in filled])
+                starts = np.cumsum([0, *(len(tails[i]) for i in filled[:-1])])
+                found[:, filled] = [np.minimum.reduceat(p[ids], starts) for p in places]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), *map(pa.array, found), batch.column("tie"), batch.column("row")], schema=arrow)
+
+    # The place in the table tells apart only rows of the same id and routes.
+    keyed = tokens.select("doc_id", "ids", F.xxhash64("doc_id").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    by = [*names, "tie", "row"]
+    return keyed.mapInArrow(run, schema).repartitionByRange(partitions, *by).sortWithinPartitions(*by).select("doc_id", "ids")
+
+
 class Index:
     """BM25 postings of a shard, by token."""
 
@@ -228,6 +266,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
     frequencies, n, mean_length = document_frequencies(tokens, path)
     idf = np.maximum(0.0, np.log((n - frequencies + 0.5) / (frequencies + 0.5)))
     kind = _vocabulary(path)[1]
+    partitions = max(1, min(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (4 * shard)))  # of several shards each
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,4 +307,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
                     yield flush()
         yield flush()
 
-    return tokens.mapInArrow(run, SCHEMA)
+    return routed(tokens, orders(frequencies, idf), kind, window, partitions).mapInArrow(run, SCHEMA)

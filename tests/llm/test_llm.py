@@ -374,6 +374,18 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_finds_neighbours_anywhere_in_the_input(spark):
+    rng = random.Random(5)
+    topics = [[f"{a}{b}" for b in "bcdfghjklmnp"] for a in ("ta", "ke", "mi", "so", "lu", "ran", "ved", "pol")]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(24))) for i in range(256)]
+    told = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shard=32, window=256).collect()
+    sequences = defaultdict(list)
+    for r in told:
+        sequences[r["sequence_id"]].append(r["doc_id"] % 8)
+    pairs = [a == b for topic in sequences.values() for a, b in zip(topic, topic[1:])]
+    assert len(pairs) > 100 and sum(pairs) > 0.6 * len(pairs)
+
+
 @pytest.mark.parametrize("text", ["It's THE end... of it", "l'été, où ÇA?! naïve_3x", "tab\x1cgap \x85 x", "école İstanbul ΣΊΣΥΦΟΣ", "<|endoftext|> 12,345 🙂🙂", "don't we're I'll 'tis"])
 def test_remembered_words_encode_like_the_tokenizer(text):
     from tokenizers import Tokenizer
