@@ -1,7 +1,7 @@
 """Personal data with source offsets, also where it is disguised.
 
 Plain identifiers (email, ip, card, phone) are found in the text as it stands.  Disguised ones are found in a
-normalised copy: three transducers fold homoglyphs, at/dot disguises and spelled digits, each keeping the pieces
+normalised copy: four transducers fold homoglyphs, bracketed and spoken at/dot disguises and spelled digits, each keeping the pieces
 it replaced, so that a span of the normalised text leads back to the characters of the source.  Spans found that
 way are added to the plain ones; a plain span is never changed.
 
@@ -142,21 +142,35 @@ def _fold_lookalikes(text: str) -> list[tuple[int, int, str]]:
 
 
 _BRACKETED = re.compile(r"[ ]?[\[({<] ?(at|dot|@|\.) ?[\])}>][ ]?", re.I)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at )[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63})*?( dot )[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63})*", re.I)
+_LABEL = "[A-Za-z0-9-]++"
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at |@){_LABEL}(?:(?: dot |\.){_LABEL})*?( dot ){_LABEL}(?:(?: dot |\.){_LABEL})*", re.I)
+_SPOKEN_IP = re.compile(r"(?<![0-9])[0-9]++(?:(?: dot |\.)[0-9]++){3}", re.I)
 _DOT = re.compile(" dot ", re.I)
 
 
-def _undo_at_dot(text: str) -> list[tuple[int, int, str]]:
-    low = text.lower()
-    pieces = []
-    if "dot" in low or "at" in low:
-        pieces = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in low and " at " in low:
-        for m in _SPOKEN.finditer(text):
-            pieces.append((*m.span(1), "@"))
-            pieces += [(*d.span(), ".") for d in _DOT.finditer(text, m.end(1), m.end())]
-    pieces.sort()
-    return [p for i, p in enumerate(pieces) if not i or p[0] >= pieces[i - 1][1]]
+def _lower(text: str) -> str:
+    """ASCII letters in lower case, all others as they are, so that the length stays."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _undo_bracketed(text: str) -> list[tuple[int, int, str]]:
+    if not any(c in text for c in "[({<"):
+        return []
+    return [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
+
+
+def _undo_spoken(text: str) -> list[tuple[int, int, str]]:
+    """Spoken dots after a spoken or written at sign, and between the four numbers of an address."""
+    if " dot " not in _lower(text):
+        return []
+    pieces = set()
+    for m in _SPOKEN.finditer(text):
+        if m[1] != "@":
+            pieces.add((*m.span(1), "@"))
+        pieces.update((*d.span(), ".") for d in _DOT.finditer(text, m.end(1), m.end()))
+    for m in _SPOKEN_IP.finditer(text):
+        pieces.update((*d.span(), ".") for d in _DOT.finditer(text, *m.span()))
+    return sorted(pieces)
 
 
 # English digit words.
@@ -168,8 +182,8 @@ _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
 def _undo_spelled(text: str) -> list[tuple[int, int, str]]:
     """Runs of digit words, also mixed with digits, of nine digits or more."""
-    low = text.lower()
-    if len(low) != len(text) or sum(w in low for w in _SPELLED) < 2 and "plus" not in low:
+    low = _lower(text)
+    if not any(w in low for w in _SPELLED):
         return []
     pieces = []
     for m in _RUN.finditer(low):
@@ -180,7 +194,7 @@ def _undo_spelled(text: str) -> list[tuple[int, int, str]]:
     return pieces
 
 
-TRANSDUCERS = (_fold_lookalikes, _undo_at_dot, _undo_spelled)
+TRANSDUCERS = (_fold_lookalikes, _undo_bracketed, _undo_spoken, _undo_spelled)
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:

@@ -98,6 +98,20 @@ def test_disguised_identifiers_map_back(kind, shown):
     assert shown not in pii.redact(text) and f"[{kind.upper()}]" in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    "kind, shown",
+    [
+        ("email", "ops[@]firm[.]com"), ("ip", "10[.]0[.]0[.]7"), ("email", "jane@site dot com"), ("email", "jane[@]site dot com"), ("email", "jane[at]site DOT com"), ("ip", "192 dot 168 dot 1 dot 7"),
+        ("email", "j" * 70 + " at " + "s" * 70 + " dot com"), ("card", "4111 1111 1111 111 one"), ("card", "Four One One One 1111 1111 1111"),
+    ],
+)
+def test_disguises_stand_by_their_own_rules(kind, shown):
+    for before in ("İ: ", ": "):
+        text = f"{before}{shown}, ok"
+        added = pii.find_pii(text)[1]
+        assert [text[a:b] for a, b in added[kind]] == [shown]
+
+
 def test_plain_prose_has_no_disguises():
     assert pii.find_pii("We met at noon, one by one, at the dot of two; on at least three days.") == ({k: [] for k in pii.KINDS},) * 2
 
