@@ -3,8 +3,8 @@
 Each byte is eight binary decisions, each with its own tree over the ``DEPTH`` bytes before it.  A node's
 Krichevsky-Trofimov estimate is mixed half and half with what its children predict, at all depths; with the counts of the training
 documents given, the mixture's weights at a node follow in closed form, and so does the probability of every byte.
-The tree's nodes come from counts of (DEPTH + 1)-grams, grouped by the byte before (at most 256 groups, each bounded
-by the alphabet); only the root's 255 decisions are combined in the driver.
+The tree's nodes come from counts of (DEPTH + 1)-grams, grouped by the two bytes before (at most 65,536 groups); the nodes of
+depth 1 are summed by Spark, and only they and the root's 255 decisions (at most 256 x 255 rows) are combined in the driver.
 
 The score of a document is the log10 probability of its words and its end, byte by byte (see ``blocks``).
 Null text counts as empty (only the end); null ids count as the empty text where training rows are told; without training rows
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from candor.llm import blocks
 
-DEPTH = 4
+DEPTH = 5
 HALF = math.log(0.5)
 
 
@@ -42,13 +42,14 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The nodes of depths 1 to ``DEPTH`` behind one last byte, from (DEPTH + 1)-grams and their counts."""
+    """The nodes of depths 2 to ``DEPTH`` behind the same two bytes, from (DEPTH + 1)-grams and their counts."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         symbol = grams & 0xFF
         past = grams >> 8
-        contexts = [np.zeros_like(past)]  # of depth 1: all grams share the last byte
-        for d in range(1, DEPTH):
+        self.last = past & 0xFF
+        contexts = [np.zeros_like(past)]  # of depth 2: all grams share the last two bytes
+        for d in range(2, DEPTH):
             contexts.append((contexts[-1] << 8) | ((past >> (8 * d)) & 0xFF))
         self.bits = np.stack([(symbol >> (7 - j)) & 1 for j in range(8)], axis=1)
         self.nodes = np.stack([(1 << j) | (symbol >> (8 - j)) for j in range(8)], axis=1)
@@ -61,11 +62,11 @@ class Tree:
             self.ones.append(np.bincount(place, weights * self.bits.ravel(), len(key)))
             self.zeros.append(np.bincount(place, weights, len(key)) - self.ones[-1])
         self.first_nodes = keys[0]
-        self.mixed = [None] * DEPTH
-        self.weight = [None] * DEPTH
-        for d in reversed(range(DEPTH)):
+        self.mixed = [None] * len(keys)
+        self.weight = [None] * len(keys)
+        for d in reversed(range(len(keys))):
             own = log_kt(self.zeros[d], self.ones[d])
-            if d == DEPTH - 1:
+            if d == len(keys) - 1:
                 self.mixed[d], self.weight[d] = own, np.ones(len(own))
                 continue
             parent = ((keys[d + 1] >> 16) << 8) | (keys[d + 1] & 0xFF)
@@ -73,12 +74,14 @@ class Tree:
             self.mixed[d] = np.logaddexp(HALF + own, HALF + below)
             self.weight[d] = np.exp(HALF + own - self.mixed[d])
 
-    def log10(self, root_weight: np.ndarray, root_one: np.ndarray) -> np.ndarray:
-        """Log10 probability of each gram's byte; the root's weights and probabilities of a one are by node."""
-        one = root_one[self.nodes]
-        p = root_weight[self.nodes] * np.where(self.bits == 1, one, 1 - one)
-        rest = 1 - root_weight[self.nodes]
-        for d in range(DEPTH):
+    def log10(self, upper: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log10 probability of each gram's byte; ``upper`` has weights and probabilities of a one, of the root by node and of
+        depth 1 by byte and node."""
+        p, rest = 0.0, 1.0
+        for at, (weight, one) in zip((self.nodes, (self.last[:, None], self.nodes)), upper):
+            p = p + rest * weight[at] * np.where(self.bits == 1, one[at], 1 - one[at])
+            rest = rest * (1 - weight[at])
+        for d in range(len(self.where)):
             at = self.where[d]
             hit = np.where(self.bits == 1, self.ones[d][at], self.zeros[d][at])
             estimate = (hit + 0.5) / (self.zeros[d][at] + self.ones[d][at] + 1)
@@ -87,13 +90,20 @@ class Tree:
         return np.log10(p).sum(axis=1)
 
 
-def root(rows: list[tuple[int, float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and probabilities of a one of the root's 255 decisions, from (node, zeros, ones, log mixture below)."""
-    zeros, ones, below = np.zeros(256), np.zeros(256), np.zeros(256)
-    for node, z, o, m in rows:
-        zeros[node], ones[node], below[node] = z, o, m
-    own = log_kt(zeros, ones)
-    return np.exp(HALF + own - np.logaddexp(HALF + own, HALF + below)), (ones + 0.5) / (zeros + ones + 1)
+def upper_nodes(rows: list[tuple[int, int, float, float, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights and probabilities of a one of the root's 255 decisions and of those of depth 1, from the latter's (byte, node,
+    zeros, ones, log mixture below)."""
+    zeros, ones, below = np.zeros((3, 256, 256))
+    for byte, node, z, o, m in rows:
+        zeros[byte, node], ones[byte, node], below[byte, node] = z, o, m
+    out = []
+    for _ in range(2):
+        own = log_kt(zeros, ones)
+        mixed = np.logaddexp(HALF + own, HALF + below)
+        out.append((np.exp(HALF + own - mixed), (ones + 0.5) / (zeros + ones + 1)))
+        if zeros.ndim > 1:
+            zeros, ones, below = zeros.sum(axis=0), ones.sum(axis=0), mixed.sum(axis=0)  # a node never seen has log mixture 0
+    return out[::-1]
 
 
 def byte_scores(totals: DataFrame) -> DataFrame:
@@ -101,16 +111,17 @@ def byte_scores(totals: DataFrame) -> DataFrame:
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(part["code"].to_numpy(), part["n"].to_numpy())
-        return pd.DataFrame({"node": tree.first_nodes, "zeros": tree.zeros[0], "ones": tree.ones[0], "mixed": tree.mixed[0]})
+        return pd.DataFrame({"last": tree.last[0], "node": tree.first_nodes, "zeros": tree.zeros[0], "ones": tree.ones[0], "mixed": tree.mixed[0]})
 
-    last = F.shiftright("code", 8).bitwiseAND(F.lit(0xFF))
-    grouped = totals.groupBy(last.alias("last"))
-    decisions = grouped.applyInPandas(first, "node long, zeros double, ones double, mixed double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed"))
-    weight, one = root([tuple(r) for r in decisions.collect()])  # 255 rows at most
+    before = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF))
+    grouped = totals.groupBy(before.alias("before"))
+    nodes = grouped.applyInPandas(first, "last long, node long, zeros double, ones double, mixed double")
+    decisions = nodes.groupBy("last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("mixed"))
+    upper = upper_nodes([tuple(r) for r in decisions.collect()])  # 256 x 255 rows at most
 
     def second(part: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(part["code"].to_numpy(), part["n"].to_numpy())
-        return pd.DataFrame({"code": part["code"], "value": tree.log10(weight, one)})
+        return pd.DataFrame({"code": part["code"], "value": tree.log10(upper)})
 
     return grouped.applyInPandas(second, "code long, value double")
 

@@ -310,6 +310,13 @@ def test_context_tree_weighting(spark, empty):
         assert a == pytest.approx(b, abs=2e-6)
 
 
+def test_context_trees_see_five_bytes(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["a1234p", "b1234q"]) for _ in range(100))) for i in range(40)]
+    got = [r["bits_per_byte"] for r in ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").collect()]
+    assert got and max(got) < 0.22  # one bit a word of seven bytes; two without the fifth byte
+
+
 def test_kneser_ney_sums_to_one(spark):
     grams = Counter()
     for t in ("abracadabra", "abba", "banana band", "a bandana"):
