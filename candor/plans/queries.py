@@ -12,7 +12,7 @@ from candor.lineage import cut, ensure_checkpoint_dir
 from candor.models.ensemble import (
     BLEND, GRAPH, NLP, EnsembleModel, Training, ensemble_importances, feature_importances, train_ensemble,
 )
-from candor.models.forest import grid_search_table, graph_grid, graph_pipeline
+from candor.models.forest import grid_search_table, graph_grid, graph_pipeline, text_grid, text_pipeline
 from candor.models.split import stratified_split
 from candor.operators import behavior, centrality, clean, graph, meta, metrics, reports, suspicious, text
 from candor.operators.text_similarity import text_similarity
@@ -25,8 +25,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PLACES = 6
 NUDGE = 1e-9  # moves values that lie exactly between two roundings, so that the last bit of a sum does not decide
-TEXT_FOREST = {"trees": 20, "depth": 8}
-GRAPH_FOREST = {"trees": 20, "depth": 8}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -156,7 +154,6 @@ def trained(spark: SparkSession, sf_dir: str) -> Training:
     if key not in _trained:
         _trained[key] = train_ensemble(
             _text_reviews(spark, sf_dir), view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v"),
-            text=TEXT_FOREST, graph=GRAPH_FOREST,
         )
     return _trained[key]
 
@@ -186,13 +183,15 @@ def _nlp_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of both grids."""
     rows = _labelled_text(spark, sf_dir)
     features = graph_features(rows, centralities=False).drop("verified_purchase")
     names = [c for c in GRAPH_FEATURES if c in features.columns]
     data = features.join(clean.label(rows).select(REVIEW, "label"), REVIEW).persist()
-    pipeline = graph_pipeline(names)
-    grid = graph_grid(pipeline, trees=(10, 20), depths=(5,), min_split=(2, 10))
-    return rounded(grid_search_table(data, pipeline, grid, folds=5))
+    texts = clean.label(rows).select(REVIEW, "review_text", "label").persist()
+    text, graph_rows = text_pipeline(), graph_pipeline(names)
+    points = grid_search_table(texts, text, text_grid(text), folds=5).withColumn("forest", F.lit("text"))
+    return rounded(points.unionByName(grid_search_table(data, graph_rows, graph_grid(graph_rows), folds=5).withColumn("forest", F.lit("graph"))))
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

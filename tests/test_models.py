@@ -82,3 +82,21 @@ def test_grids(spark):
     df = spark.createDataFrame(rows, "review_id string, label double, a double, b double")
     table = grid_search_table(df, graph, graph_grid(graph, trees=(3, 5), depths=(2,), min_split=(2,)), folds=2).collect()
     assert len(table) == 2 and sum(r.is_best for r in table) == 1 and max(r.mean_auc for r in table) > 0.9
+
+
+def test_queries_use_the_operators_defaults_and_full_grids(spark, sf_dir, monkeypatch):
+    from candor.plans import queries
+
+    asked, points = {}, []
+    monkeypatch.setattr(queries, "train_ensemble", lambda *args, **options: asked.update(options))
+    monkeypatch.setattr(queries, "_trained", {})
+    queries.trained(spark, sf_dir)
+    assert not asked
+
+    def table(data, pipeline, grid, **options):
+        assert options == {"folds": 5} and (pipeline.getStages()[-1].getNumTrees(), pipeline.getStages()[-1].getMaxDepth()) == (100, 30)
+        points.append(len(grid))
+        return spark.createDataFrame([("", 0.5, True)] * len(grid), "params string, mean_auc double, is_best boolean")
+
+    monkeypatch.setattr(queries, "grid_search_table", table)
+    assert queries.queries()["grid_search"](spark, sf_dir).count() == 42 and sorted(points) == [18, 24]
