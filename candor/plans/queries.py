@@ -182,10 +182,15 @@ def _nlp_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph features of all reviews, labelled or not, with metadata and centralities: what the models are trained on."""
+    return cut(graph_features(_text_reviews(spark, sf_dir), view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v")))
+
+
 def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every point of both grids."""
     rows = _labelled_text(spark, sf_dir)
-    features = graph_features(rows, centralities=False).drop("verified_purchase")
+    features = _all_features(spark, sf_dir).drop("verified_purchase")
     names = [c for c in GRAPH_FEATURES if c in features.columns]
     data = features.join(clean.label(rows).select(REVIEW, "label"), REVIEW).persist()
     texts = clean.label(rows).select(REVIEW, "review_text", "label").persist()
@@ -195,14 +200,14 @@ def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the saved and reloaded model."""
+    """Scores of all reviews by the saved and reloaded model, next to those of the model itself."""
     ensure_checkpoint_dir(spark)
     model = trained(spark, sf_dir).model
     path = f"{spark.sparkContext.getCheckpointDir()}/model"
     model.save(spark, path)
-    rows = _labelled_text(spark, sf_dir)
-    features = graph_features(rows, centralities=False)
-    return rounded(EnsembleModel.load(spark, path).scores(rows, features=features))
+    rows, features = _text_reviews(spark, sf_dir), _all_features(spark, sf_dir)
+    original = model.scores(rows, features=features).select(REVIEW, F.col(BLEND).alias("original_probability"))
+    return rounded(EnsembleModel.load(spark, path).scores(rows, features=features).join(original, REVIEW))
 
 
 def _analyze_model(spark: SparkSession, sf_dir: str) -> DataFrame:

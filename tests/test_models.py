@@ -99,4 +99,35 @@ def test_queries_use_the_operators_defaults_and_full_grids(spark, sf_dir, monkey
         return spark.createDataFrame([("", 0.5, True)] * len(grid), "params string, mean_auc double, is_best boolean")
 
     monkeypatch.setattr(queries, "grid_search_table", table)
+    monkeypatch.setattr(queries, "graph_features", lambda df, *_, **__: df.select("review_id", "verified_purchase", *[F.lit(0.0).alias(c) for c in queries.GRAPH_FEATURES]))
     assert queries.queries()["grid_search"](spark, sf_dir).count() == 42 and sorted(points) == [18, 24]
+
+
+def test_model_queries_take_features_of_all_reviews(spark, sf_dir, monkeypatch):
+    from types import SimpleNamespace
+
+    from candor.plans import queries
+
+    built, used = [], []
+
+    def features(df, users=None, products=None, *, centralities=True):
+        built.append((df.count(), users is not None, products is not None, centralities))
+        return df.select("review_id", "verified_purchase", *[F.lit(0.0).alias(c) for c in queries.GRAPH_FEATURES])
+
+    def scores(rows, features):
+        return rows.select("review_id", F.lit(0.5).alias(BLEND))
+
+    def table(data, pipeline, grid, **options):
+        used.append(data.count())
+        return spark.createDataFrame([("", 0.5, True)], "params string, mean_auc double, is_best boolean")
+
+    model = SimpleNamespace(save=lambda *_: None, scores=scores)
+    monkeypatch.setattr(queries, "graph_features", features)
+    monkeypatch.setattr(queries, "grid_search_table", table)
+    monkeypatch.setattr(queries, "trained", lambda *_: SimpleNamespace(model=model))
+    monkeypatch.setattr(queries.EnsembleModel, "load", staticmethod(lambda *_: model))
+    every, labelled = queries._text_reviews(spark, sf_dir).count(), queries._labelled_text(spark, sf_dir).count()
+    queries.queries()["grid_search"](spark, sf_dir).collect()
+    told = queries.queries()["model_roundtrip"](spark, sf_dir).collect()
+    assert labelled < every and built == [(every, True, True, True)] * 2 and used == [labelled] * 2
+    assert len(told) == every and all(r[BLEND] == r["original_probability"] for r in told)
