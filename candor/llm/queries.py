@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import ctw, iblt, kneser_ney, language, mixing, packing, pii, repetition, secrets, simhash
+from candor.llm import ctw, decontamination, iblt, kneser_ney, language, mixing, packing, pii, repetition, secrets, simhash, spelling, whitening
 from candor.llm.common import crc_mod, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,19 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality(documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.digest(decontamination.contamination(documents(spark, sf_dir), items))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -66,6 +79,9 @@ QUERIES: dict[str, Query] = {
     "op8_repetition": op8_repetition,
     "op9_secrets": op9_secrets,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_wu_manber": op11_wu_manber,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 #: Targets by recursion-free water level, prefix sums by plain windows: the same arithmetic in the same order.
@@ -96,4 +112,42 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(first_wor
        round(ga * t2 + gb * t2 * t2 / 2, 3) AS second_position FROM z
 """
 
-ORACLE: dict[str, str] = {"op6_curriculum": _OP6}
+#: Windows of items joined with windows of documents of the same length; hit words are the union of their places.
+_OP11 = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+v AS (SELECT DISTINCT item, m, array_to_string(words[k : k + m - 1], ' ') AS win
+      FROM (SELECT item, words, least(10, len(words)) AS m, unnest(generate_series(1, len(words) - least(10, len(words)) + 1)) AS k FROM i WHERE len(words) > 0)),
+d AS (SELECT r, m, k, array_to_string(words[k : k + m - 1], ' ') AS win
+      FROM (SELECT r, m, words, unnest(generate_series(1, len(words) - m + 1)) AS k FROM w, (SELECT DISTINCT m FROM v) WHERE len(words) >= m)),
+h AS (SELECT d.r, d.k, d.m, v.item FROM d JOIN v ON d.m = v.m AND d.win = v.win),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + m - 1)) AS p FROM h) GROUP BY r),
+g AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (r) LEFT JOIN g USING (r)
+"""
+
+#: CRC-32 byte by byte; near words by their texts with one letter left out; forms followed recursively.
+_OP13 = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+         WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT run, k, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM runs),
+hashed AS MATERIALIZED (SELECT run, k, xor(list_reduce([4294967295] || list_transform(b, lambda x: CAST(x AS BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS h FROM bytes, crc),
+mutated AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM mutated WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON l.rest = w.word UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON l.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word, w.n, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near,
+         CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+steps AS (SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s USING (word) JOIN forms e ON e.word = s.root WHERE e.form IS NULL
+"""
+
+ORACLE: dict[str, str] = {"op6_curriculum": _OP6, "op11_wu_manber": _OP11, "op13_spelling": _OP13}
