@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from candor.operators.clean import ROW_KEY
 from candor.operators.similarity import overlapping_sets, profile_edges, profiles
 from candor.lineage import cut
-from candor.skew import attach
+from candor.skew import attach, tiled_join
+
+LOOK_ALIKE = 0.7  # similarity from which two users count as look-alikes
 
 
 def review_edges(df: DataFrame, *, order: str = ROW_KEY) -> DataFrame:
@@ -68,7 +70,7 @@ def _class_pairs(own: DataFrame) -> DataFrame:
     one = own.select(F.col("profile").alias("set_1"), "product_id")
     two = own.select(F.col("profile").alias("set_2"), "product_id")
     return (
-        attach(one, two, "product_id", how="inner")
+        tiled_join(one, two, "product_id")
         .filter(F.col("set_1") < F.col("set_2"))
         .groupBy("set_1", "set_2")
         .agg(F.count(F.lit(1)).alias("weight"))
@@ -159,17 +161,23 @@ def user_similarity_stats(edges: DataFrame) -> DataFrame:
     )
 
 
-def user_clustering(edges: DataFrame) -> DataFrame:
+def user_clustering(edges: DataFrame, focus: DataFrame | None = None) -> DataFrame:
     """Clustering coefficient of every user in the co-review graph: 2T / (d (d - 1)), 0 below two neighbours.
 
+    With ``focus`` (user_id) only of these users; ``edges`` must then hold all edges of theirs and of their co-reviewers.
+
     Links among the neighbours of a user are counted product by product: a product that x of the neighbours
     reviewed links C(x, 2) of them; links that several products repeat are taken off again, which only
     concerns pairs that share two or more products.  All of it runs on user classes with multiplicities.
     """
     membership, own = coreview_classes(edges)
-    half = cut(_class_pairs(own).select("set_1", "set_2"))
-    linked = half.union(half.select(F.col("set_2").alias("set_1"), F.col("set_1").alias("set_2")))
     classes = membership.filter(F.col("user_id") == F.col("profile")).select("profile", "members", "size")
+    if focus is None:
+        half = cut(_class_pairs(own).select("set_1", "set_2"))
+        linked = half.union(half.select(F.col("set_2").alias("set_1"), F.col("set_1").alias("set_2")))
+    else:
+        wanted = cut(attach(membership, focus.select("user_id"), "user_id", how="inner").select("profile").distinct())
+        linked = cut(_neighbours(own.select("profile", "product_id"), wanted).select("set_1", "set_2").distinct())
 
     neighbour = own.select(F.col("profile").alias("set_2"), "product_id", "members")
     reached = (
@@ -213,8 +221,9 @@ def user_clustering(edges: DataFrame) -> DataFrame:
         - F.coalesce("over_twins", zero)
         - (m - 1) * (m - 2) / 2 * (s - 1)
     )
+    asked = classes if focus is None else attach(classes, wanted, "profile", how="inner")
     per_class = (
-        classes.withColumnRenamed("profile", "set_1")
+        asked.withColumnRenamed("profile", "set_1")
         .join(reached, "set_1", "left")
         .join(around, "set_1", "left")
         .join(over, "set_1", "left")
@@ -224,5 +233,47 @@ def user_clustering(edges: DataFrame) -> DataFrame:
         )
     )
     values = attach(membership.select("user_id", "profile"), per_class, "profile").drop("profile")
-    everyone = edges.select("user_id").distinct()
+    everyone = (edges if focus is None else focus).select("user_id").distinct()
     return everyone.join(values, "user_id", "left").fillna(0.0, subset=["user_clustering"])
+
+
+def _neighbours(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of wanted profiles met by the rows of all others on the same product (columns get the suffixes _1 and _2)."""
+    side = lambda df, n: df.select("product_id", *[F.col(c).alias("set" + n if c == "profile" else c + n) for c in df.columns if c != "product_id"])
+    mine = cut(attach(own, wanted, "profile", how="inner"))
+    return tiled_join(side(mine, "_1"), side(own, "_2"), "product_id").filter(F.col("set_1") != F.col("set_2"))
+
+
+def focused_user_features(edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """Degree, clustering, co-reviewer similarity and the look-alike flag of the users in ``focus`` (user_id, distinct).
+
+    ``edges`` must hold all edges of these users and of their co-reviewers; other edges do no harm.  Values are those that
+    ``bipartite_degrees``, ``user_clustering``, ``user_similarity_stats`` and ``suspicious_users`` give over the whole graph.
+    Users alike in everything are compared once, as a profile.
+    """
+    membership = cut(profiles(edges, "user_id", "product_id", ("rating",)))
+    own = cut(profile_edges(edges.select("user_id", "product_id", "rating"), membership, "user_id"))
+    mine = attach(membership, focus.select("user_id"), "user_id", how="inner")
+    pairs = (
+        _neighbours(own, mine.select("profile").distinct())
+        .groupBy("set_1", "set_2")
+        .agg(
+            F.count(F.lit(1)).alias("c"), F.max("size_1").alias("a"), F.max("size_2").alias("b"), F.max("members_2").alias("m"),
+            F.avg(1.0 - F.abs(F.col("rating_1") - F.col("rating_2")) / 5.0).alias("agree"),
+        )
+        .withColumn("jaccard", F.col("c") / (F.col("a") + F.col("b") - F.col("c")))
+    )
+    met = pairs.groupBy(F.col("set_1").alias("profile")).agg(
+        F.sum("m").alias("links"), F.sum(F.col("m") * F.col("jaccard")).alias("total"), F.max("jaccard").alias("best"),
+        F.max((F.col("jaccard") + F.col("agree")) / 2 >= LOOK_ALIKE).alias("alike"),
+    )
+    twins, zero = F.col("members") - 1, F.lit(0.0)
+    links = F.coalesce("links", F.lit(0)) + twins
+    stats = attach(mine, met, "profile").select(
+        "user_id", F.col("size").alias("user_degree"),
+        F.when(links > 0, (F.coalesce("total", zero) + twins) / links).otherwise(0.0).alias("avg_user_similarity"),
+        F.greatest(F.coalesce("best", zero), F.when(twins > 0, 1.0).otherwise(0.0)).alias("max_user_similarity"),
+        links.cast("double").alias("similar_user_count"),
+        F.when((twins > 0) | F.col("alike"), 1.0).alias("is_suspicious_user"),
+    )
+    return stats.join(user_clustering(edges, focus), "user_id", "left")

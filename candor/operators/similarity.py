@@ -11,6 +11,9 @@ Three exact reductions are combined (they change the work, not the result):
   hardly ever joined on.
 * The sizes of both sets are part of the join key, so that an item that can only matter for certain size
   combinations is only joined for those.
+* Light and heavy items are treated apart.  The sets of an item with at most ``LIGHT`` of them are simply paired and counted: at
+  most LIGHT / 2 pairs per row, no candidates, no verification.  Only sets that meet on heavy items go through the filters
+  above, in tiles of bounded size, and only heavy items are looked up to complete a count.
 
 The position of an item inside its set is not a rank over the set (that would gather a huge set in one
 task) but a lower bound from a histogram with a bounded number of slots.
@@ -22,12 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.lineage import cut
-from candor.skew import attach
+from candor.skew import attach, tiled_join
 
 SLOTS_PER_OCTAVE = 64
 EXACT_SIZES = 8
 CLASS_RATIO = 1.25
 EPS = 1e-9
+LIGHT = 64  # sets of an item up to which they are paired directly
 
 
 def profiles(edges: DataFrame, set_col: str, item_col: str, attributes: tuple[str, ...] = ()) -> DataFrame:
@@ -88,31 +92,101 @@ def _needed(a: Column, b: Column, threshold: float, min_overlap: int) -> Column:
     return F.greatest(F.lit(min_overlap), F.ceil((a + b) * (threshold / (1 + threshold)) - EPS))
 
 
+def _split(edges: DataFrame, set_col: str, item_col: str, light: int) -> tuple[DataFrame, bool]:
+    """Edges with ``_heavy`` (the item has more than ``light`` sets) and ``_h`` (heavy items of the set), and whether there are any."""
+    freq = edges.groupBy(item_col).agg((F.count(F.lit(1)) > light).alias("_heavy"))
+    placed = cut(attach(edges, freq, item_col))
+    many = placed.filter("_heavy").groupBy(set_col).agg(F.count(F.lit(1)).alias("_h"))
+    if placed.filter("_heavy").isEmpty():
+        return placed.withColumn("_h", F.lit(0).cast("long")), False
+    return cut(attach(placed, many, set_col).withColumn("_h", F.coalesce("_h", F.lit(0)))), True
+
+
+_SIZES = ["members_1", "members_2", "size_1", "size_2", "_h1", "_h2"]
+
+
+def _sides(edges: DataFrame, set_col: str, item_col: str, value: str | None) -> tuple[DataFrame, DataFrame]:
+    return tuple(
+        edges.select(
+            item_col, F.col(set_col).alias(f"set_{n}"), F.col("members").alias(f"members_{n}"), F.col("size").alias(f"size_{n}"),
+            F.col("_h").alias(f"_h{n}"), *([F.col(value).alias(f"_v{n}")] if value else []),
+        )
+        for n in (1, 2)
+    )
+
+
+def _counted(met: DataFrame, value: str | None) -> DataFrame:
+    """Shared items of each met pair, and the sum and number of their agreements."""
+    agree = 1.0 - F.abs(F.col("_v1") - F.col("_v2")) / 5.0 if value else F.lit(None).cast("double")
+    return met.groupBy("set_1", "set_2").agg(
+        F.count(F.lit(1)).alias("shared"), *([F.sum(agree).alias("_vs"), F.count(agree).alias("_vn")] if value else []),
+        *[F.max(c).alias(c) for c in _SIZES],
+    )
+
+
+def _overlaps(
+    placed: DataFrame, set_col: str, item_col: str, value: str | None, fits: Column, needed: Column, heavy_pairs: DataFrame | None
+) -> DataFrame:
+    """All pairs that can reach ``needed`` shared items, with exact counts.
+
+    ``fits`` is a condition on size_1 and size_2.  ``heavy_pairs`` (set_1 < set_2) must hold every pair in question that shares
+    heavy items only; other pairs in it do no harm.
+    """
+    one, two = _sides(placed.filter(~F.col("_heavy")), set_col, item_col, value)
+    met = one.join(two, item_col).filter((F.col("set_1") < F.col("set_2")) & fits)
+    pairs = _counted(met, value)
+    if heavy_pairs is not None:
+        pairs = cut(pairs.filter(F.col("shared") + F.least("_h1", "_h2") >= needed))
+        open_pairs = pairs.filter((F.col("_h1") > 0) & (F.col("_h2") > 0)).select("set_1", "set_2").union(heavy_pairs).distinct()
+        one, two = _sides(placed.filter("_heavy"), set_col, item_col, value)
+        rest = _counted(open_pairs.join(one, "set_1").join(two, ["set_2", item_col]).filter(fits), value)
+        sums = [c for c in ("shared", "_vs", "_vn") if c in pairs.columns]
+        both = pairs.unionByName(rest).groupBy("set_1", "set_2")
+        pairs = both.agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in _SIZES])
+    pairs = pairs.filter(F.col("shared") >= needed)
+    out = pairs.withColumn("jaccard", F.col("shared") / (F.col("size_1") + F.col("size_2") - F.col("shared")))
+    if value:
+        out = out.withColumn("value_similarity", F.when(F.col("_vn") > 0, F.col("_vs") / F.col("_vn")))
+    return out.drop("_vs", "_vn", "_h1", "_h2")
+
+
 def similar_sets(
-    edges: DataFrame, set_col: str, item_col: str, *, threshold: float, min_overlap: int = 1, value: str | None = None
+    edges: DataFrame, set_col: str, item_col: str, *, threshold: float, min_overlap: int = 1, value: str | None = None, light: int = LIGHT
 ) -> DataFrame:
     """Pairs of profiles whose item sets have Jaccard similarity >= ``threshold`` and share ``min_overlap`` items.
 
     ``edges`` are profile edges (profile, item, [value], members, size).  Returns (set_1, set_2, members_1,
-    members_2, shared, jaccard[, value_similarity]) with set_1 < set_2; ``value_similarity`` is the mean of
+    members_2, shared, size_1, size_2, jaccard[, value_similarity]) with set_1 < set_2; ``value_similarity`` is the mean of
     ``1 - |v1 - v2| / 5`` over shared items.
     """
     t = max(threshold, 1e-6)
-    m = rare_first(edges, set_col, item_col).select(set_col, item_col, "size", "pos")
+    placed, any_heavy = _split(edges, set_col, item_col, light)
+    a, b = F.col("size_1"), F.col("size_2")
+    fits = (F.least(a, b) >= F.greatest(a, b) * t - EPS) & (F.least(a, b) >= _needed(a, b, t, min_overlap))
+    candidates = _heavy_candidates(placed, set_col, item_col, t, min_overlap) if any_heavy else None
+    found = _overlaps(placed, set_col, item_col, value, fits, _needed(a, b, t, min_overlap), candidates)
+    return found.filter((F.col("jaccard") >= threshold - EPS) & (F.col("shared") >= min_overlap))
+
+
+def _heavy_candidates(placed: DataFrame, set_col: str, item_col: str, t: float, min_overlap: int) -> DataFrame:
+    """Pairs that can be similar and whose first shared item, rare first, is heavy."""
+    heavy = placed.filter("_heavy").select(set_col, item_col, F.lit(True).alias("_heavy"))
+    m = rare_first(placed.select(set_col, item_col, "size"), set_col, item_col)
+    m = attach(m, heavy, [set_col, item_col], how="inner").select(set_col, item_col, "size", "pos")
     size, pos = F.col("size"), F.col("pos")
     partner = F.filter(
         F.sequence(_class_of(F.greatest(F.floor(size * t + EPS), F.lit(1))), _class_of(F.ceil(size / t + EPS))),
         lambda k: 1 + size - pos
         >= _needed(size, F.greatest(_class_low(k), F.ceil(size * t - EPS)), t, min_overlap),
     )
-    tokens = m.withColumn("_class", _class_of(size)).withColumn("_partner", F.explode(partner))
+    tokens = cut(m.withColumn("_class", _class_of(size)).withColumn("_partner", F.explode(partner)))
     side = lambda cond, tag, lo, hi: tokens.filter(cond).select(
         item_col, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
         F.col(set_col).alias(f"_set{tag}"), F.col("size").alias(f"_size{tag}"), F.col("pos").alias(f"_pos{tag}"),
     )
     left = side(F.col("_class") <= F.col("_partner"), 1, "_class", "_partner")
     right = side(F.col("_class") >= F.col("_partner"), 2, "_partner", "_class")
-    met = attach(left, right, [item_col, "_lo", "_hi"], how="inner").filter(
+    met = tiled_join(left, right, [item_col, "_lo", "_hi"]).filter(
         ((F.col("_lo") < F.col("_hi")) | (F.col("_set1") < F.col("_set2")))
         & (F.least("_size1", "_size2") >= F.greatest("_size1", "_size2") * t - EPS)
         & (
@@ -120,50 +194,21 @@ def similar_sets(
             >= _needed(F.col("_size1"), F.col("_size2"), t, min_overlap)
         )
     )
-    candidates = met.select(
-        F.least("_set1", "_set2").alias("set_1"), F.greatest("_set1", "_set2").alias("set_2")
-    ).distinct()
-    return verify_overlap(candidates, edges, set_col, item_col, value=value).filter(
-        (F.col("jaccard") >= threshold - EPS) & (F.col("shared") >= min_overlap)
-    )
-
-
-def verify_overlap(
-    candidates: DataFrame, edges: DataFrame, set_col: str, item_col: str, *, value: str | None = None
-) -> DataFrame:
-    """Exact overlap of candidate pairs.  Plain shuffle joins, which adaptive execution splits when skewed."""
-    extra = [value] if value else []
-    one = edges.select(
-        F.col(set_col).alias("set_1"), item_col, F.col("members").alias("members_1"), F.col("size").alias("_a"),
-        *[F.col(v).alias("_v1") for v in extra],
-    )
-    two = edges.select(
-        F.col(set_col).alias("set_2"), item_col, F.col("members").alias("members_2"), F.col("size").alias("_b"),
-        *[F.col(v).alias("_v2") for v in extra],
-    )
-    aggs = [
-        F.count(F.lit(1)).alias("shared"),
-        *[F.max(c).alias(c) for c in ("members_1", "members_2", "_a", "_b")],
-    ]
-    if value:
-        aggs.append(F.avg(1.0 - F.abs(F.col("_v1") - F.col("_v2")) / 5.0).alias("value_similarity"))
-    checked = candidates.join(one, "set_1").join(two, ["set_2", item_col]).groupBy("set_1", "set_2").agg(*aggs)
-    return checked.withColumn(
-        "jaccard", F.col("shared") / (F.col("_a") + F.col("_b") - F.col("shared"))
-    ).withColumnsRenamed({"_a": "size_1", "_b": "size_2"})
+    return met.select(F.least("_set1", "_set2").alias("set_1"), F.greatest("_set1", "_set2").alias("set_2")).distinct()
 
 
-def overlapping_sets(edges: DataFrame, set_col: str, item_col: str) -> DataFrame:
+def overlapping_sets(edges: DataFrame, set_col: str, item_col: str, *, light: int = LIGHT) -> DataFrame:
     """Pairs of profiles that share at least two items, with the exact count in ``shared``.
 
     Such a pair shares an item that is not the most frequent one of either set, so the hottest item of every
-    set is left out of the join.
+    set is left out when heavy items are joined.
     """
-    early = rare_first(edges, set_col, item_col).filter(F.col("pos") < F.col("size")).select(set_col, item_col)
-    met = attach(
-        early.withColumnRenamed(set_col, "set_1"), early.withColumnRenamed(set_col, "set_2"),
-        item_col, how="inner",
-    ).filter(F.col("set_1") < F.col("set_2"))
-    return verify_overlap(met.select("set_1", "set_2").distinct(), edges, set_col, item_col).filter(
-        F.col("shared") >= 2
-    )
+    placed, any_heavy = _split(edges.select(set_col, item_col, "members", "size"), set_col, item_col, light)
+    candidates = None
+    if any_heavy:
+        heavy = placed.filter("_heavy").select(set_col, item_col, F.lit(True).alias("_heavy"))
+        early = rare_first(placed.select(set_col, item_col, "size"), set_col, item_col).filter(F.col("pos") < F.col("size"))
+        early = cut(attach(early, heavy, [set_col, item_col], how="inner").select(set_col, item_col))
+        met = tiled_join(early.withColumnRenamed(set_col, "set_1"), early.withColumnRenamed(set_col, "set_2"), item_col)
+        candidates = met.filter(F.col("set_1") < F.col("set_2")).select("set_1", "set_2").distinct()
+    return _overlaps(placed, set_col, item_col, None, F.lit(True), F.lit(2), candidates)

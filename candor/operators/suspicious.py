@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from candor.lineage import cut
 from candor.operators.components import connected_components
+from candor.operators.graph import LOOK_ALIKE
 from candor.operators.similarity import profile_edges, profiles, similar_sets
 from candor.skew import attach
 
-MIN_SIMILARITY = 0.7
+MIN_SIMILARITY = LOOK_ALIKE
 MIN_SHARED_REVIEWERS = 3
+MIN_REVIEWS, MIN_RATING, MAX_VARIANCE, MIN_SHARE = 5, 4.5, 0.5, 0.8
 
 
 def user_pairs(edges: DataFrame, membership: DataFrame, *, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -132,8 +134,8 @@ def product_metrics(edges: DataFrame) -> DataFrame:
 
 def suspicious_products(edges: DataFrame) -> DataFrame:
     return product_metrics(edges).filter(
-        (F.col("review_count") >= 5)
-        & (F.col("avg_rating") >= 4.5)
-        & (F.col("rating_variance") < 0.5)
-        & (F.col("high_rating_pct") >= 0.8)
+        (F.col("review_count") >= MIN_REVIEWS)
+        & (F.col("avg_rating") >= MIN_RATING)
+        & (F.col("rating_variance") < MAX_VARIANCE)
+        & (F.col("high_rating_pct") >= MIN_SHARE)
     )

@@ -24,12 +24,12 @@ GRAPH_FEATURES = [
 
 def graph_features(
     df: DataFrame, users: DataFrame | None = None, products: DataFrame | None = None, *,
-    order: str = ROW_KEY, target: str = "verified_purchase", centralities: bool = True,
+    order: str = ROW_KEY, target: str = "verified_purchase", centralities: bool | DataFrame = True,
 ) -> DataFrame:
     """(order, features..., target): every feature a double without nulls, the target outside the features.
 
     Clustering is that of the co-review graph (on the bipartite graph it is 0 for everyone).  The edge table,
-    read by every part, is written out once.
+    read by every part, is written out once.  ``centralities`` may be a table of them by user, else they are taken from ``df`` or left out.
     """
     edges = cut(review_edges(df, order=order))
     user_degree, product_degree = bipartite_degrees(edges)
@@ -40,7 +40,9 @@ def graph_features(
         .join(user_similarity_stats(edges), "user_id", "left")
         .join(flagged, "user_id", "left")
     )
-    if centralities:
+    if isinstance(centralities, DataFrame):
+        per_user = per_user.join(centralities, "user_id", "left")
+    elif centralities:
         for name, table in (
             ("user_betweenness", betweenness_centrality(edges).withColumnRenamed("betweenness", "v")),
             ("user_eigenvector_centrality", eigenvector_centrality(edges).withColumnRenamed("centrality", "v")),

@@ -12,8 +12,18 @@ def _quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+#: Read by several others, so DuckDB is told to compute them once.
+SHARED = {
+    "edges", "deg", "pairs", "bad_users", "bad_products", "co", "up", "corners", "clus", "points", "one_way", "links", "looped", "pivots", "levels",
+}
+
+
+def _recursive(prefix: str) -> str:
+    return prefix.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _with(*names: str, **ctes: str) -> str:
-    parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({sql})" for n, sql in ctes.items()]
+    parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({sql})" for n, sql in ctes.items()]
     return "WITH " + ", ".join(parts) + " "
 
 
@@ -181,6 +191,38 @@ def _closure(key: str) -> str:
     )
 
 
+# --- centralities: power iteration and breadth-first waves as recursive queries ---------------------------------
+
+CENTRAL = {
+    "points": "SELECT kind, id, CAST(row_number() OVER (ORDER BY kind, id) AS INTEGER) AS node FROM (SELECT DISTINCT 'user' AS kind, user_id AS id FROM edges "
+    "UNION ALL SELECT DISTINCT 'product', product_id FROM edges) AS x",
+    "one_way": "SELECT u.node AS src, p.node AS dst FROM edges JOIN points u ON u.kind = 'user' AND u.id = user_id JOIN points p ON p.kind = 'product' AND p.id = product_id",
+    "links": "SELECT src, dst FROM one_way UNION ALL SELECT dst, src FROM one_way",
+}
+EIGEN = {
+    "looped": "SELECT src, dst FROM links UNION ALL SELECT node, node FROM points",
+    "power": "SELECT node, 1 / CAST(count(*) OVER () AS DOUBLE) AS x, 0 AS it, false AS done FROM points UNION ALL "
+    "SELECT node, x, it, sum(abs(x - prev)) OVER () < 1e-6 * sum(x) OVER () FROM (SELECT node, y / sqrt(sum(y * y) OVER ()) AS x, prev, it FROM ("
+    "SELECT l.dst AS node, sum(p.x) AS y, max(CASE WHEN l.src = l.dst THEN p.x END) AS prev, max(p.it) + 1 AS it "
+    "FROM power p JOIN looped l ON l.src = p.node WHERE NOT p.done GROUP BY l.dst) AS a) AS b",
+    "eigen": "SELECT kind, id, x AS centrality, true AS converged FROM power JOIN points USING (node) WHERE done",
+}
+BETWEEN = {
+    "pivots": "SELECT node FROM points ORDER BY md5(kind || ':' || id) LIMIT 50",
+    "waves": "SELECT node AS origin, node, 0 AS level, CAST(1 AS DOUBLE) AS paths, true AS fresh FROM pivots UNION ALL (SELECT s.origin, s.node, s.level, s.paths, true FROM ("
+    "SELECT w.origin, l.dst AS node, w.level + 1 AS level, sum(w.paths) AS paths FROM waves w JOIN links l ON l.src = w.node WHERE w.fresh GROUP BY 1, 2, 3) s "
+    "WHERE NOT EXISTS (SELECT 1 FROM waves o WHERE NOT o.fresh AND o.origin = s.origin AND o.node = s.node) "
+    "UNION ALL SELECT origin, node, level, paths, false FROM waves WHERE fresh)",
+    "levels": "SELECT origin, node, level, paths FROM waves WHERE fresh",
+    "back": "SELECT origin, node, level, paths, CAST(0 AS DOUBLE) AS dep FROM levels WHERE level = (SELECT max(level) FROM levels) UNION ALL "
+    "SELECT v.origin, v.node, v.level, v.paths, v.paths * coalesce(c.share, 0) FROM levels v JOIN (SELECT max(level) AS level FROM back) t ON v.level = t.level - 1 "
+    "LEFT JOIN (SELECT b.origin, l.src AS node, sum((1 + b.dep) / b.paths) AS share FROM back b JOIN links l ON l.dst = b.node GROUP BY 1, 2) c "
+    "ON c.origin = v.origin AND c.node = v.node",
+    "between": "SELECT kind, id, coalesce(s, 0) * n / least(50, n) / ((n - 1.0) * (n - 2.0)) AS betweenness FROM points LEFT JOIN (SELECT node, sum(dep) AS s FROM back WHERE level > 0 GROUP BY node) "
+    "AS d USING (node), (SELECT CAST(count(*) AS DOUBLE) AS n FROM points) AS c",
+}
+
+
 def _coreview(source: str) -> dict[str, str]:
     return {
         "edges": _edges(source),
@@ -412,21 +454,23 @@ def oracle_sql() -> dict[str, str]:
         "abs(rating - product_avg_rating) AS product_rating_deviation, m.product_name, m.category, m.price, "
         "m.avg_rating AS product_meta_avg_rating, m.review_count AS product_meta_review_count, m.listing_date, "
         + _days("r.date", "m.listing_date") + " AS product_age_days, coalesce(" + _days("r.date", "m.listing_date")
-        + " <= 3, false) AS is_suspicious_early_review FROM market_v r "
-        f"JOIN ({USER_AGG.format(v='market_v')}) u ON u.user_id = r.user_id JOIN ({PRODUCT_AGG.format(v='market_v')}) p ON p.product_id = r.product_id "
-        f"JOIN ({_bursts('market_v', 'user_id')}) ub ON ub.user_id = r.user_id JOIN ({_bursts('market_v', 'product_id')}) pb ON pb.product_id = r.product_id "
-        f"JOIN ({_entropies('market_v')}) en ON en.user_id = r.user_id "
+        + " <= 3, false) AS is_suspicious_early_review, j.join_date, j.review_count AS user_meta_review_count, j.avg_rating AS user_meta_avg_rating, "
+        "j.verified_purchases, " + _days("r.date", "j.join_date") + " AS account_age_days, coalesce(" + _days("r.date", "j.join_date")
+        + " <= 7, false) AS is_suspicious_new_account FROM rings_v r "
+        f"JOIN ({USER_AGG.format(v='rings_v')}) u ON u.user_id = r.user_id JOIN ({PRODUCT_AGG.format(v='rings_v')}) p ON p.product_id = r.product_id "
+        f"JOIN ({_bursts('rings_v', 'user_id')}) ub ON ub.user_id = r.user_id JOIN ({_bursts('rings_v', 'product_id')}) pb ON pb.product_id = r.product_id "
+        f"JOIN ({_entropies('rings_v')}) en ON en.user_id = r.user_id "
         "JOIN (SELECT user_id, count(*) AS user_degree, avg(pd) AS user_neighbors_avg_degree FROM edges JOIN (SELECT product_id AS q, count(*) AS pd "
         "FROM edges GROUP BY 1) x ON q = product_id GROUP BY user_id) ud ON ud.user_id = r.user_id "
         "JOIN (SELECT product_id, count(*) AS product_degree FROM edges GROUP BY 1) pd ON pd.product_id = r.product_id "
-        "JOIN clus ON clus.user_id = r.user_id LEFT JOIN products_v m ON m.product_id = r.product_id"
+        "JOIN clus ON clus.user_id = r.user_id LEFT JOIN products_v m ON m.product_id = r.product_id LEFT JOIN users_v j ON j.user_id = r.user_id"
     )
     out["behavioral_features"] = _round(
         combined,
         "user_avg_rating", "user_rating_variance", "user_extreme_rating_pct", "user_verified_ratio", "user_burstiness_score", "hour_entropy",
         "day_entropy", "user_neighbors_avg_degree", "user_clustering", "product_avg_rating", "product_rating_variance", "product_high_rating_pct",
-        "product_burstiness_score", "rating_deviation", "product_rating_deviation", "price", "product_meta_avg_rating",
-        prefix=_with("market_v", "products_v", **_coreview("market_v"), **CLUSTERING),
+        "product_burstiness_score", "rating_deviation", "product_rating_deviation", "price", "product_meta_avg_rating", "user_meta_avg_rating",
+        prefix=_with("rings_v", "products_v", "users_v", **_coreview("rings_v"), **CLUSTERING),
     )
 
     # reports
@@ -499,9 +543,9 @@ def oracle_sql() -> dict[str, str]:
     out["product_profile_members"] = _with("rings_v", **PRODUCT_PROFILES) + "SELECT product_id, profile, members, size FROM pmem"
     out["suspicious_users"] = sus + "SELECT user_id FROM bad_users"
     out["suspicious_products"] = _round("SELECT * FROM bad_products", "avg_rating", "rating_variance", "high_rating_pct", prefix=sus)
-    out["suspicious_user_groups"] = sus.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _closure("user_id")
+    out["suspicious_user_groups"] = _recursive(sus).rstrip() + ", " + _closure("user_id")
     out["suspicious_product_groups"] = (
-        _with("rings_v", **PRODUCT_PAIRS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _closure("product_id")
+        _recursive(_with("rings_v", **PRODUCT_PAIRS)).rstrip() + ", " + _closure("product_id")
     )
     out["coreview_edges"] = _with(
         "market_v", edges=_edges("market_v"),
@@ -520,8 +564,8 @@ def oracle_sql() -> dict[str, str]:
     out["user_clustering"] = _round(
         "SELECT * FROM clus", "user_clustering", prefix=_with("market_v", **_coreview("market_v"), **CLUSTERING)
     )
-    graph_ctes = {**SUSPICIOUS_USERS, **_coreview("rings_v"), **CLUSTERING, "simstats": SIM_STATS}
-    out["graph_features"] = _round(
+    feature_ctes = {**SUSPICIOUS_USERS, **_coreview("rings_v"), **CLUSTERING, "simstats": SIM_STATS}
+    features = (
         "SELECT r.review_id, CAST(ud.d AS DOUBLE) AS user_degree, CAST(pd.d AS DOUBLE) AS product_degree, user_clustering, avg_user_similarity, "
         "max_user_similarity, similar_user_count, CAST(CASE WHEN r.user_id IN (SELECT user_id FROM bad_users) THEN 1 ELSE 0 END AS DOUBLE) AS is_suspicious_user, "
         "CAST(CASE WHEN r.product_id IN (SELECT product_id FROM bad_products) THEN 1 ELSE 0 END AS DOUBLE) AS is_suspicious_product, "
@@ -529,9 +573,23 @@ def oracle_sql() -> dict[str, str]:
         "CAST(count(*) OVER (PARTITION BY r.product_id, CAST(r.date AS DATE)) AS DOUBLE) AS product_same_day_review_count, "
         f"{meta_cols}, r.verified_purchase FROM rings_v r JOIN deg ud ON ud.user_id = r.user_id JOIN (SELECT product_id, count(*) AS d FROM edges GROUP BY 1) pd "
         "ON pd.product_id = r.product_id JOIN clus ON clus.user_id = r.user_id JOIN simstats ON simstats.user_id = r.user_id "
-        "LEFT JOIN users_v u ON u.user_id = r.user_id LEFT JOIN products_v p ON p.product_id = r.product_id",
-        "user_clustering", "avg_user_similarity", "max_user_similarity", "user_avg_rating", "user_verified_ratio", "product_avg_rating",
-        prefix=_with("rings_v", "users_v", "products_v", **graph_ctes),
+        "LEFT JOIN users_v u ON u.user_id = r.user_id LEFT JOIN products_v p ON p.product_id = r.product_id"
+    )
+    feature_names = ["user_clustering", "avg_user_similarity", "max_user_similarity", "user_avg_rating", "user_verified_ratio", "product_avg_rating"]
+    feature_tables = _with("rings_v", "users_v", "products_v", **feature_ctes)
+    central = [f"SELECT id, {c} AS v FROM {t} WHERE kind = 'user'" for c, t in (("betweenness", "between"), ("centrality", "eigen"))]
+    out["graph_features"] = _round(
+        f"SELECT f.* EXCLUDE (user_id), b.v AS user_betweenness, c.v AS user_eigenvector_centrality FROM ({features.replace('r.review_id', 'r.review_id, r.user_id', 1)}) f "
+        f"JOIN ({central[0]}) b ON b.id = f.user_id JOIN ({central[1]}) c ON c.id = f.user_id",
+        *feature_names, "user_betweenness", "user_eigenvector_centrality",
+        prefix=_recursive(_with("rings_v", "users_v", "products_v", **feature_ctes, **CENTRAL, **EIGEN, **BETWEEN)),
+    )
+    market_edges = {"edges": _edges("market_v"), **CENTRAL}
+    out["betweenness"] = _round("SELECT * FROM between", "betweenness", prefix=_recursive(_with("market_v", **market_edges, **BETWEEN)))
+    out["eigenvector_centrality"] = _round("SELECT * FROM eigen", "centrality", prefix=_recursive(_with("market_v", **market_edges, **EIGEN)))
+    out["batch_features"] = _round(
+        f"SELECT f.* FROM ({features}) f JOIN (SELECT review_id FROM rings_v WHERE date >= TIMESTAMP '2001-07-01' OR date IS NULL) n ON n.review_id = f.review_id",
+        *feature_names, prefix=feature_tables,
     )
     out["analyze_rules"] = sus + _flags()
 
@@ -593,6 +651,19 @@ def oracle_sql() -> dict[str, str]:
         f"len(w) - {_hits('w', lex.MIX_POSITIVE)} - {_hits('w', lex.MIX_NEGATIVE)} AS neutral_count FROM (SELECT review_id, {RAW_TOKENS} AS w FROM text_reviews_v) AS q"
     )
 
+    out["nlp_tfidf"] = _round(
+        "SELECT d AS review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY d)) AS weight FROM raw",
+        "weight",
+        prefix=_with(
+            "text_reviews_v",
+            words=f"SELECT CAST(review_id AS VARCHAR) AS d, [x for x in regexp_extract_all(lower({T}), '[\\p{{L}}\\p{{N}}_]{{2,}}') if x NOT IN ({_quoted(lex.STOP_WORDS)})] AS w FROM text_reviews_v",
+            grams=f"SELECT d, unnest(w || {_grams('w', 2)}) AS term FROM words",
+            counts="SELECT d, term, count(*) AS tf FROM grams GROUP BY d, term",
+            vocabulary="SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.8 * (SELECT count(*) FROM words) ORDER BY sum(tf) DESC, term LIMIT 5000",
+            raw="SELECT d, term, tf * (ln(((SELECT count(*) FROM words) + CAST(1 AS DOUBLE)) / (df + CAST(1 AS DOUBLE))) + 1) AS w FROM counts JOIN vocabulary USING (term)",
+        ),
+    )
+
     # metrics over given scores
     scores = _with("scores_v")
     out["ensemble_score"] = _round(

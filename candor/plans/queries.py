@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions import text as tx
-from candor.lineage import cut, ensure_checkpoint_dir
+from candor.lineage import cut, shared_folder
 from candor.models.ensemble import (
     BLEND, GRAPH, NLP, EnsembleModel, Training, ensemble_importances, feature_importances, train_ensemble,
 )
-from candor.models.forest import grid_search_table, graph_grid, graph_pipeline, text_grid, text_pipeline
+from candor.models.search import search_graph, search_text
 from candor.models.split import stratified_split
+from candor.models.tfidf import tfidf_weights
 from candor.operators import behavior, centrality, clean, graph, meta, metrics, reports, suspicious, text
 from candor.operators.text_similarity import text_similarity
 from candor.plans.analysis import analyze_model, analyze_rules, score_batch
+from candor.plans.feature_store import FeatureStore
 from candor.plans.features import GRAPH_FEATURES, graph_features
 from candor.sources.reviews import parse_products, parse_reviews, parse_users
 from candor.sources.views import view
@@ -166,20 +168,8 @@ def _scored(column: str) -> Query:
 
 
 def _nlp_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form of the fitted vectors: (review_id, term, weight)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    from candor.models.forest import tfidf_stages
-
-    rows = _text_reviews(spark, sf_dir)
-    model = Pipeline(stages=tfidf_stages()).fit(rows)
-    vocabulary = F.array(*[F.lit(w) for w in model.stages[1].vocabulary])
-    entries = F.transform(vector_to_array("features"), lambda w, i: F.struct(i.alias("i"), w.alias("weight")))
-    present = tx.entries(model.transform(rows), [REVIEW], F.filter(entries, lambda e: e["weight"] > 0), "_e")
-    return rounded(
-        present.select(REVIEW, F.element_at(vocabulary, F.col("_e.i") + 1).alias("term"), F.col("_e.weight").alias("weight"))
-    )
+    """Long form of the vectors: (review_id, term, weight)."""
+    return rounded(tfidf_weights(_text_reviews(spark, sf_dir)))
 
 
 def _all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,18 +182,17 @@ def _grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled_text(spark, sf_dir)
     features = _all_features(spark, sf_dir).drop("verified_purchase")
     names = [c for c in GRAPH_FEATURES if c in features.columns]
-    data = features.join(clean.label(rows).select(REVIEW, "label"), REVIEW).persist()
-    texts = clean.label(rows).select(REVIEW, "review_text", "label").persist()
-    text, graph_rows = text_pipeline(), graph_pipeline(names)
-    points = grid_search_table(texts, text, text_grid(text), folds=5).withColumn("forest", F.lit("text"))
-    return rounded(points.unionByName(grid_search_table(data, graph_rows, graph_grid(graph_rows), folds=5).withColumn("forest", F.lit("graph"))))
+    labels = clean.label(rows)
+    data = cut(features.join(labels.select(REVIEW, "label"), REVIEW))
+    texts = cut(labels.select(REVIEW, "review_text", "label"))
+    points = search_text(texts).withColumn("forest", F.lit("text"))
+    return rounded(points.unionByName(search_graph(data, names).withColumn("forest", F.lit("graph"))))
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all reviews by the saved and reloaded model, next to those of the model itself."""
-    ensure_checkpoint_dir(spark)
     model = trained(spark, sf_dir).model
-    path = f"{spark.sparkContext.getCheckpointDir()}/model"
+    path = shared_folder(spark, "model")
     model.save(spark, path)
     rows, features = _text_reviews(spark, sf_dir), _all_features(spark, sf_dir)
     original = model.scores(rows, features=features).select(REVIEW, F.col(BLEND).alias("original_probability"))
@@ -216,13 +205,32 @@ def _analyze_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("review_text"))
 
 
+def _new_store(spark: SparkSession, history: DataFrame, **options) -> FeatureStore:
+    """A store in a folder of its own."""
+    return FeatureStore.create(spark, shared_folder(spark, "features"), history, **options)
+
+
 def _score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlabelled documents come in as new reviews, the labelled ones are the history."""
+    """Unlabelled documents come in as new reviews, the labelled ones are the history, known to the store only."""
     rows = _text_reviews(spark, sf_dir)
     new = rows.filter(F.col("verified_purchase").isNull())
-    history = rows.filter(F.col("verified_purchase").isNotNull())
+    store = _new_store(spark, rows.filter(F.col("verified_purchase").isNotNull()))
     metadata = view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v")
-    return rounded(score_batch(new, history, trained(spark, sf_dir).model, *metadata).drop("review_text"))
+    return rounded(score_batch(new, store, trained(spark, sf_dir).model, *metadata).drop("review_text"))
+
+
+#: Reviews from these days on come in as the second and the last batch.
+BATCH_DAYS = ("2000-01-01", "2001-07-01")
+
+
+def _batch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the newest reviews, against a store that took in the older ones in two batches."""
+    rows = view(spark, sf_dir, "rings_v")
+    second, last = [F.lit(day).cast("timestamp_ntz") for day in BATCH_DAYS]
+    store = _new_store(spark, rows.filter(F.col("date") < second), refresh=False)
+    store.merge(rows.filter((F.col("date") >= second) & (F.col("date") < last)))
+    newest = rows.filter((F.col("date") >= last) | F.col("date").isNull())
+    return rounded(store.features(newest, view(spark, sf_dir, "users_v"), view(spark, sf_dir, "products_v"), snapshot=False))
 
 
 def _train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +290,7 @@ def queries() -> dict[str, Query]:
         "user_behavior": _on("reviews_v", behavior.user_behavior),
         "product_behavior": _on("reviews_v", behavior.product_behavior),
         "user_verified_ratio": _on("reviews_v", behavior.user_verified_ratio),
-        "behavioral_features": _on("market_v", lambda d, p: behavior.behavioral_features(d, None, p), products=True),
+        "behavioral_features": _on("rings_v", behavior.behavioral_features, users=True, products=True),
         # reports
         "user_product_metrics": _on("reviews_v", reports.user_product_metrics, users=True),
         "summary_cards": _on("rings_v", _cards),
@@ -314,9 +322,8 @@ def queries() -> dict[str, Query]:
         "user_clustering": _edges_of("market_v", graph.user_clustering),
         "betweenness": _edges_of("market_v", centrality.betweenness_centrality),
         "eigenvector_centrality": _edges_of("market_v", centrality.eigenvector_centrality),
-        "graph_features": _on(
-            "rings_v", lambda d, u, p: graph_features(d, u, p, centralities=False), users=True, products=True
-        ),
+        "graph_features": _on("rings_v", graph_features, users=True, products=True),
+        "batch_features": _batch_features,
         "analyze_rules": _on("rings_v", _rules),
         # text
         "basic_text_features": _on("text_reviews_v", text.basic_text_features, drop=TEXT_DROP),

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candor.lineage import cut
 
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
@@ -43,3 +44,35 @@ def attach(rows: DataFrame, values: DataFrame, key: str | Sequence[str], how: st
     keys = [key] if isinstance(key, str) else list(key)
     mark = F.hash(*_hashed(rows, values, keys))
     return rows.withColumn("_mark", mark).join(values.withColumn("_mark", mark), [*keys, "_mark"], how).drop("_mark")
+
+
+TILE = 1 << 14  # rows of one key and side that meet in a task
+_FEW = 1 << 14  # hot keys that are sent to every task
+
+
+def tiled_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], *, tile: int = TILE) -> DataFrame:
+    """Inner equi-join in which a task meets at most about ``tile`` rows of a key on each side.
+
+    A key with more rows than that on either side is cut into tiles: its left rows are dealt to rows of the grid, its right rows to
+    columns, each is repeated along the other direction, and the tile becomes part of the join key.  So a key
+    that is hot on *both* sides, whose pairs adaptive execution cannot foresee from bytes, is spread over as many tasks as it has
+    tiles.  Other keys are joined as they are.  Both inputs are counted first, so they should be written tables or cheap.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    count = F.count(F.lit(1))
+    sizes = left.groupBy(*keys).agg(count.alias("_rows")).join(right.groupBy(*keys).agg(count.alias("_cols")), keys)
+    parts = lambda c: F.ceil(F.col(c) / tile).cast("int").alias(c)
+    hot = cut(sizes.filter((F.col("_rows") > tile) | (F.col("_cols") > tile)).select(*keys, parts("_rows"), parts("_cols")))
+    found = hot.count()
+    if not found:
+        return attach(left, right, keys, how="inner")
+
+    def dealt(df: DataFrame, along: str, across: str, at: str, to: str) -> DataFrame:
+        marked = df.join(F.broadcast(hot), keys, "left") if found <= _FEW else attach(df, hot, keys)
+        place = F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col(along)).cast("int"), F.lit(0))
+        copies = F.sequence(F.lit(0), F.coalesce(F.col(across), F.lit(1)) - 1)
+        return marked.withColumn(at, place).withColumn(to, F.explode(copies)).drop("_rows", "_cols")
+
+    grid = ["_i", "_j"]
+    met = dealt(left, "_rows", "_cols", *grid).join(dealt(right, "_cols", "_rows", *reversed(grid)), [*keys, *grid])
+    return met.drop(*grid)
