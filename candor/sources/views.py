@@ -117,8 +117,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register_tables(spark, sf_dir, VIEWS[name])
     df = spark.sql(VIEWS[name])
     if "review_text" in df.columns:
-        # Text work is bound by the processor: a few large files should not leave cores idle.
-        df = df.repartition(spark.sparkContext.defaultParallelism, "review_id")
+        # Text work is bound by the processor: a table of few splits should not leave cores idle.  Larger ones are not moved.
+        cores = spark.sparkContext.defaultParallelism
+        if spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, "review_id")
     for column, kind in df.dtypes:
         if kind == "timestamp_ltz":
             df = df.withColumn(column, df[column].cast("timestamp_ntz"))
