@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -53,10 +54,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@cache
 def encoder(path: str = VOCABULARY) -> tuple[Callable[[str], bytes], np.dtype]:
     """A function from a text to its ids as little-endian bytes, closing id included, and their type.
 
-    The vocabulary never joins across white space, so each word is encoded once and remembered.
+    The vocabulary never joins across white space, so each word is encoded once and remembered, by a worker for all its tasks.
     """
     from tokenizers import Tokenizer
 
