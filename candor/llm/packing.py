@@ -42,11 +42,18 @@ CACHE = 300_000  # words whose ids a worker remembers
 
 # White space that Python and the tokenizer may see differently: such texts go to the tokenizer whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
+# Bytes of which one is in every text that _ODD_SPACE matches: looking for them is much faster than matching.
+_ODD_MARKS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1", b"\xe2", b"\xe3", b"\xef")
 _PLAIN = re.compile("[\x21-\x7eÀ-įĲ-ɏ]+")
 # The vocabulary's own pre-tokens, for words of plain letters.
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
+def has_odd_space(text: str) -> bool:
+    data = text.encode()
+    return any(mark in data for mark in _ODD_MARKS) and _ODD_SPACE.search(text) is not None
+
+
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write a byte: printable ones as themselves, the rest as letters from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -93,7 +100,7 @@ def encoder(path: str = VOCABULARY) -> tuple[Callable[[str], bytes], np.dtype]:
     words = Words()
 
     def encode(text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if has_odd_space(text):
             return whole(text) + closing
         return b"".join(map(words.__getitem__, text.split())) + closing
 

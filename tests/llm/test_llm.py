@@ -417,6 +417,12 @@ def test_remembered_words_encode_like_the_tokenizer(text):
     assert np.frombuffer(encode(text), kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_marks_are_in_every_odd_space():
+    for code in range(0x110000):
+        if not 0xD800 <= code < 0xE000:
+            assert packing.has_odd_space(chr(code)) == (packing._ODD_SPACE.search(chr(code)) is not None)
+
+
 # --- repetition, secrets -------------------------------------------------------------------------------------------
 
 
