@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,26 +63,16 @@ class EnsembleModel:
         }
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Write both pipelines, the feature names and the weights under ``path``, replacing what is there."""
-        for name, part in (("text", self.text), ("graph", self.graph)):
-            if part.pipeline is not None:
-                part.pipeline.write().overwrite().save(f"{path}/{name}")
-            rows = list(enumerate(part.feature_names))
-            spark.createDataFrame(rows, "position int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}_features")
-        spark.createDataFrame(
-            [(self.nlp_weight, self.graph_weight, self.text.constant, self.graph.constant)],
-            "nlp_weight double, graph_weight double, text_constant double, graph_constant double",
-        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+        """Write both forests and the weights under ``path``, replacing what is there.  Each forest can be loaded by itself."""
+        self.text.save(spark, f"{path}/text")
+        self.graph.save(spark, f"{path}/graph")
+        weights = spark.createDataFrame([(self.nlp_weight, self.graph_weight)], "nlp_weight double, graph_weight double")
+        weights.coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "EnsembleModel":
-        w = spark.read.parquet(f"{path}/weights").first()
-        parts = []
-        for name, constant in (("text", w.text_constant), ("graph", w.graph_constant)):
-            names = [r.name for r in spark.read.parquet(f"{path}/{name}_features").orderBy("position").collect()]
-            pipeline = PipelineModel.load(f"{path}/{name}") if constant is None else None
-            parts.append(ForestModel(pipeline, names, constant))
-        return EnsembleModel(parts[0], parts[1], w.nlp_weight)
+        weight = spark.read.parquet(f"{path}/weights").first().nlp_weight
+        return EnsembleModel(ForestModel.load(spark, f"{path}/text"), ForestModel.load(spark, f"{path}/graph"), weight)
 
 
 @dataclass

@@ -98,6 +98,23 @@ def coreview_edges(edges: DataFrame) -> DataFrame:
     return across.union(within).withColumnsRenamed({"set_1": "user_1", "set_2": "user_2"})
 
 
+def coreview_factors(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The co-review graph in factors, whose size follows the reviews and not the pairs.
+
+    * (user_id, profile): the class of each user;
+    * (profile, product_id, members): the products of each class, one row per edge of a class at most;
+    * (user_1, user_2, weight): classes that share two products or more, with their number.
+
+    Two classes are linked if they share a product; their weight is that of the third table, else 1.  A class of several members is
+    linked to itself, with the number of its products.  :func:`coreview_edges` is what that multiplies out to.
+    """
+    membership, own = coreview_classes(edges)
+    links = overlapping_sets(own, "profile", "product_id").select(
+        F.col("set_1").alias("user_1"), F.col("set_2").alias("user_2"), F.col("shared").alias("weight")
+    )
+    return membership.select("user_id", "profile"), own.select("profile", "product_id", "members"), links
+
+
 def user_similarity_stats(edges: DataFrame) -> DataFrame:
     """Per user: number of co-reviewers, mean and maximum Jaccard similarity with them (0 if there are none).
 

@@ -547,13 +547,20 @@ def oracle_sql() -> dict[str, str]:
     out["suspicious_product_groups"] = (
         _recursive(_with("rings_v", **PRODUCT_PAIRS)).rstrip() + ", " + _closure("product_id")
     )
-    out["coreview_edges"] = _with(
+    classes = _with(
         "market_v", edges=_edges("market_v"),
         kept="SELECT user_id, product_id FROM edges WHERE product_id IN (SELECT product_id FROM edges GROUP BY product_id HAVING count(*) > 1)",
         prof="SELECT user_id, count(*) AS size, string_agg(product_id, ',' ORDER BY product_id) AS k FROM kept GROUP BY user_id",
         mem="SELECT user_id, size, min(user_id) OVER (PARTITION BY k) AS profile, count(*) OVER (PARTITION BY k) AS members FROM prof",
         rep="SELECT user_id, size, members FROM mem WHERE user_id = profile",
-    ) + (
+    )
+    out["coreview_class_members"] = classes + "SELECT user_id, profile FROM mem"
+    out["coreview_class_products"] = classes + "SELECT k.user_id AS profile, product_id, members FROM kept k JOIN rep ON rep.user_id = k.user_id"
+    out["coreview_strong_links"] = classes + (
+        "SELECT a.user_id AS user_1, b.user_id AS user_2, count(*) AS weight FROM kept a JOIN rep x ON x.user_id = a.user_id "
+        "JOIN kept b ON a.product_id = b.product_id AND a.user_id < b.user_id JOIN rep y ON y.user_id = b.user_id GROUP BY 1, 2 HAVING count(*) > 1"
+    )
+    out["coreview_edges"] = classes + (
         "SELECT a.user_id AS user_1, b.user_id AS user_2, x.members AS members_1, y.members AS members_2, count(*) AS weight "
         "FROM kept a JOIN rep x ON x.user_id = a.user_id JOIN kept b ON a.product_id = b.product_id AND a.user_id < b.user_id "
         "JOIN rep y ON y.user_id = b.user_id GROUP BY 1, 2, 3, 4 UNION ALL SELECT user_id, user_id, members, members, size FROM rep WHERE members > 1"

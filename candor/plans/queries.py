@@ -318,6 +318,9 @@ def queries() -> dict[str, Query]:
         "suspicious_user_groups": _edges_of("rings_v", suspicious.suspicious_user_groups),
         "suspicious_product_groups": _edges_of("rings_v", suspicious.suspicious_product_groups),
         "coreview_edges": _edges_of("market_v", graph.coreview_edges),
+        "coreview_class_members": _edges_of("market_v", lambda e: graph.coreview_factors(e)[0]),
+        "coreview_class_products": _edges_of("market_v", lambda e: graph.coreview_factors(e)[1]),
+        "coreview_strong_links": _edges_of("market_v", lambda e: graph.coreview_factors(e)[2]),
         "user_similarity_stats": _edges_of("market_v", graph.user_similarity_stats),
         "user_clustering": _edges_of("market_v", graph.user_clustering),
         "betweenness": _edges_of("market_v", centrality.betweenness_centrality),

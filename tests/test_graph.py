@@ -1,6 +1,9 @@
+from collections import defaultdict
+from itertools import combinations
+
 import pytest
 from helpers import (
-    EDGE_SCHEMA, betweenness, bipartite, clustering, eigenvector, groups, random_edges, reviews, similar_products,
+    EDGE_SCHEMA, betweenness, bipartite, by_user, clustering, eigenvector, groups, random_edges, reviews, similar_products,
     similar_users, similarity_stats,
 )
 
@@ -71,6 +74,22 @@ def test_clustering_and_stats(spark, seed, hot):
         assert stats[u] == pytest.approx(want[u])
 
 
+def test_factors_multiply_out_to_all_edges(spark):
+    edges = random_edges(6, hot="p02")
+    members, products, links = [df.collect() for df in graph.coreview_factors(edges_df(spark, edges))]
+    of_class, profile = defaultdict(set), {r.user_id: r.profile for r in members}
+    for r in products:
+        of_class[r.profile].add(r.product_id)
+        assert r.members == sum(p == r.profile for p in profile.values())
+    weight = {(r.user_1, r.user_2): r.weight for r in links}
+    users, got = by_user(edges), {}
+    for a, b in combinations(sorted(profile), 2):
+        x, y = sorted((profile[a], profile[b]))
+        if of_class[x] & of_class[y]:
+            got[a, b] = len(of_class[x]) if x == y else weight.get((x, y), 1)
+    assert got == {(a, b): n for a, b in combinations(sorted(users), 2) if (n := len(users[a].keys() & users[b].keys()))}
+
+
 def test_clustering_shapes(spark):
     triangle = [(u, "p", 1.0) for u in "abc"]
     path = [("a", "p", 1.0), ("b", "p", 1.0), ("b", "q", 1.0), ("c", "q", 1.0)]

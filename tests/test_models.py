@@ -5,7 +5,7 @@ from helpers import ts
 from pyspark.sql import functions as F
 
 from candor.models.ensemble import BLEND, EnsembleModel, ensemble_importances, feature_importances, train_ensemble
-from candor.models.forest import forest, graph_pipeline, text_pipeline, train_graph, train_text
+from candor.models.forest import ForestModel, forest, graph_pipeline, text_pipeline, train_graph, train_text
 from candor.models.search import GraphGrid, TextGrid, first_trees, named, search_graph, search_text
 from candor.models.split import with_folds
 from candor.models.tfidf import tfidf_weights, vocabulary
@@ -71,6 +71,18 @@ def test_score_batch(spark, training):
     assert row[0].result in ("Highly Suspicious", "Somewhat Suspicious", "Likely Authentic")
 
 
+def test_one_forest_by_itself(spark, training, tmp_path):
+    path = str(tmp_path / "text")
+    training.model.text.save(spark, path)
+    rows = planted(spark, 20)
+    one, two = ({r.review_id: r.p for r in m.score(rows, "p").collect()} for m in (training.model.text, ForestModel.load(spark, path)))
+    assert one == two and len(set(one.values())) > 1
+    training.model.text.save(spark, path)  # overwrites
+    ForestModel(None, ["a"], 1.0).save(spark, path)
+    loaded = ForestModel.load(spark, path)
+    assert (loaded.pipeline, loaded.feature_names, loaded.constant) == (None, ["a"], 1.0)
+
+
 def test_single_class(spark):
     df = planted(spark, 12, fake=False).withColumn("label", F.lit(0.0))
     model = train_text(df)
