@@ -20,7 +20,7 @@ STAGES = [
     ("packing", stages.packed),
 ]
 
-#: A trained network, span rewriting and tokenizers have no SQL form; tests/llm compares run() with a brute-force version.
+#: A trained network, span rewriting and tokenizers have no SQL form; tests/llm tests the operators by brute force and the stages one after the other.
 ORACLE_SQL = None
 
 
