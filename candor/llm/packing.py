@@ -65,12 +65,13 @@ def _byte_letters() -> dict[int, str]:
 def encoder(path: str = VOCABULARY) -> tuple[Callable[[str], bytes], np.dtype]:
     """A function from a text to its ids as little-endian bytes, closing id included, and their type.
 
-    The vocabulary never joins across white space, so each word is encoded once and remembered, by a worker for all its tasks.
+    A text that holds a special token's string is left to the tokenizer, which gives that token's id there.  Otherwise
+    the vocabulary never joins across white space, so each word is encoded once and remembered, by a worker for all its tasks.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     size = max(tokenizer.get_vocab().values()) + 1
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
     width, model, letters = kind.itemsize, tokenizer.model, _byte_letters()
@@ -100,7 +101,7 @@ def encoder(path: str = VOCABULARY) -> tuple[Callable[[str], bytes], np.dtype]:
     words = Words()
 
     def encode(text: str) -> bytes:
-        if has_odd_space(text):
+        if any(s in text for s in special) or has_odd_space(text):
             return whole(text) + closing
         return b"".join(map(words.__getitem__, text.split())) + closing
 
