@@ -141,7 +141,7 @@ def _fold_lookalikes(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), folds[m[0]]) for m in odd.finditer(text)]
 
 
-_BRACKETED = re.compile(r"[ ]?[\[({<] ?(at|dot|@|\.) ?[\])}>][ ]?", re.I)
+_BRACKETED = re.compile(r" *+[\[({<] *+(at|dot|@|\.) *+[\])}>] *+", re.I)
 _LABEL = "[A-Za-z0-9-]++"
 _SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at |@){_LABEL}(?:(?: dot |\.){_LABEL})*?( dot ){_LABEL}(?:(?: dot |\.){_LABEL})*", re.I)
 _SPOKEN_IP = re.compile(r"(?<![0-9])[0-9]++(?:(?: dot |\.)[0-9]++){3}", re.I)
@@ -176,22 +176,45 @@ def _undo_spoken(text: str) -> list[tuple[int, int, str]]:
 # English digit words.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ITEM = "(?:" + "|".join(_SPELLED) + "|[0-9]+)"
+_NUMBER = rf"(?<![a-z0-9]){_ITEM}(?:[ -]+{_ITEM})*+"
+_FOUR = re.compile(rf"{_NUMBER}(?:(?: dot |\.){_NUMBER}){{3}}(?![a-z0-9])")
+_NAMED = re.compile(rf"((?<![a-z0-9._%+-])[a-z0-9._%+-]++ )?({_NUMBER})(?=@[a-z0-9-]++\.)")
 _RUN = re.compile(rf"(?<![a-z0-9])(?:plus[ -]+)?{_ITEM}(?:(?:[ -]+|, ?){_ITEM})+(?![a-z0-9])")
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
+_WORDY = re.compile("[a-z]{2}")
+# Words before an address that are not part of its name.
+_COMMON = frozenset("a an and are at by call contact email for from fax is mail me my of on or our phone reach reply send the to us via with write you your".split())
+
+
+def _digits_of(words: str) -> str:
+    return "".join("+" if t == "plus" else _SPELLED.get(t, t) for t in _TOKEN.findall(words))
 
 
 def _undo_spelled(text: str) -> list[tuple[int, int, str]]:
-    """Runs of digit words, also mixed with digits, of nine digits or more."""
+    """Digit words, also mixed with digits: runs of nine digits or more, the four numbers of an address (with their
+    dots), and those right before an at sign, together with the word before them, as part of an email's name."""
     low = _lower(text)
     if not any(w in low for w in _SPELLED):
         return []
     pieces = []
     for m in _RUN.finditer(low):
-        tokens = _TOKEN.findall(m[0])
-        digits = "".join("+" if t == "plus" else _SPELLED.get(t, t) for t in tokens)
-        if len(digits) >= 9 and any(t in _SPELLED for t in tokens):
+        digits = _digits_of(m[0])
+        if len(digits) >= 9 and _WORDY.search(m[0]):
             pieces.append((m.start(), m.end(), digits))
-    return pieces
+    for m in _FOUR.finditer(low):
+        if _WORDY.search(_DOT.sub(".", m[0])):
+            pieces.append((m.start(), m.end(), ".".join(map(_digits_of, re.split(r" dot |\.", m[0])))))
+    for m in _NAMED.finditer(low):
+        if _WORDY.search(m[2]) and len(_digits_of(m[2])) < 9:
+            before = (m[1] or "").rstrip(" ")
+            start = m.start() if before and before not in _COMMON else m.start(2)
+            pieces.append((start, m.end(2), (text[m.start(1) : m.end(1) - 1] if start < m.start(2) else "") + _digits_of(m[2])))
+    apart, free = [], 0
+    for piece in sorted(pieces, key=lambda x: (x[0], -x[1])):
+        if piece[0] >= free:
+            apart.append(piece)
+            free = piece[1]
+    return apart
 
 
 TRANSDUCERS = (_fold_lookalikes, _undo_bracketed, _undo_spoken, _undo_spelled)
