@@ -47,20 +47,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, once even if its row is repeated.
 
-    Rows without an id stay if no row with an id is in their group, one for each fingerprint.
+    An id on rows of different fingerprints stays once for each of these that its groups name it for.  Rows without an
+    id stay if no row with an id is in their group, one for each fingerprint.
     """
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", F.col("component_id").isNull().alias("none")).distinct()
-    kept = first.filter("doc_id IS NOT NULL").select("doc_id")
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id IS NULL")
-    if nameless.isEmpty():
-        return rows.select(*docs.columns)
-    name = _hidden(docs)
-    alone = groups.filter("component_id IS NULL").select("fingerprint").distinct()
-    prints = pandas_udf(lambda texts: texts.map(lambda t: f"{simhash.fingerprint(t):016x}"), "string")
-    nameless = nameless.withColumn(name, prints("text")).dropDuplicates([name])
-    return rows.select(*docs.columns).unionByName(nameless.join(alone.withColumnRenamed("fingerprint", name), name, "left_semi").select(*docs.columns))
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    prints = first.groupBy("doc_id").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
+    once = prints.filter("doc_id IS NOT NULL AND low = high").select("doc_id")
+    rows = docs.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    several = prints.filter("doc_id IS NULL OR low < high").select(key.alias("_key"))
+    if several.isEmpty():
+        return rows
+    print_of = pandas_udf(lambda texts: texts.map(lambda t: f"{simhash.fingerprint(t):016x}"), "string")
+    named = first.select(key.alias("_key"), F.col("fingerprint").alias("_print")).join(several, "_key", "left_semi").distinct()
+    # Only rows of these ids are fingerprinted again.
+    some = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).join(several, "_key", "left_semi")
+    some = some.withColumn("_print", print_of("_row.text")).dropDuplicates(["_key", "_print"]).join(named, ["_key", "_print"], "left_semi")
+    return rows.unionByName(some.select("_row.*"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
