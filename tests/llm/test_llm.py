@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -103,6 +104,8 @@ def test_disguised_identifiers_map_back(kind, shown):
     [
         ("email", "ops[@]firm[.]com"), ("ip", "10[.]0[.]0[.]7"), ("email", "jane@site dot com"), ("email", "jane[@]site dot com"), ("email", "jane[at]site DOT com"), ("ip", "192 dot 168 dot 1 dot 7"),
         ("email", "j" * 70 + " at " + "s" * 70 + " dot com"), ("card", "4111 1111 1111 111 one"), ("card", "Four One One One 1111 1111 1111"),
+        ("ip", "one nine two dot one six eight dot one dot seven"), ("ip", "10 dot zero dot zero dot seven"), ("ip", "One.two.3.four"), ("email", "john one two three at site dot com"),
+        ("email", "four two@site.com"), ("email", "jane (at)  site  (dot) com"), ("email", "jane  [ at ] site dot com"),
     ],
 )
 def test_disguises_stand_by_their_own_rules(kind, shown):
@@ -113,6 +116,8 @@ def test_disguises_stand_by_their_own_rules(kind, shown):
 
 
 def test_plain_prose_has_no_disguises():
+    assert pii.find_pii("Mail seven@ the gate, one dot two dot three and four.") == ({k: [] for k in pii.KINDS},) * 2
+    assert pii.redact("write to seven one at site dot com") == "write to [EMAIL]"
     assert pii.find_pii("We met at noon, one by one, at the dot of two; on at least three days.") == ({k: [] for k in pii.KINDS},) * 2
 
 
@@ -328,6 +333,70 @@ def test_kneser_ney_sums_to_one(spark):
         assert sum(10 ** r["value"] for r in kneser_ney.probabilities(counts, asked).collect()) == pytest.approx(1)
 
 
+def _kneser_ney_brute(trained, bodies, n):
+    """Perplexity per byte of each body, straight from the definition."""
+    levels = {n: Counter()}
+    for b in trained:
+        data = b"\xff" * (n - 1) + b
+        levels[n].update(data[i : i + n] for i in range(len(b)))
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off, following = {}, {}
+    for k, c in levels.items():
+        m = Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else None
+        raw = [0.5] * 3 if y is None else [1 - 2 * y * m[2] / m[1], 2 - 3 * y * m[3] / m[2], 3 - 4 * y * m[4] / m[3] if m[3] else 0.5]
+        off[k] = [min(max(d, 0.05), i + 1.0) for i, d in enumerate(raw)]
+        following[k] = defaultdict(list)
+        for g, v in c.items():
+            following[k][g[:-1]].append(v)
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        k, seen = len(gram), following[len(gram)].get(gram[:-1])
+        if not seen:
+            return p(gram[1:])
+        less = lambda v: off[k][min(v, 3) - 1]
+        v = levels[k][gram]
+        return ((v - less(v) if v else 0) + sum(map(less, seen)) * p(gram[1:])) / sum(seen)
+
+    out = []
+    for b in bodies:
+        data = b"\xff" * (n - 1) + b
+        out.append(10 ** (-sum(math.log10(p(data[i : i + n])) for i in range(len(b))) / len(b)))
+    return out
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """Perplexities, and thresholds over all trusted rows: also those not counted, repeated, or of null language."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "abc", "Cab", "é", "x" * (i % 7)]) for _ in range(rng.randint(0, 30))), rng.choice(["aa", "bb", None])) for i in range(40)]
+    rows += [(None, "abc ab", "aa"), (3, rows[3][1], rows[3][2]), (50, None, "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(31, 1, 1), (32, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    fit = set(range(30))
+    bodies = [b" ".join(blocks.tokens(t)) + b"\xff" for _, t, _ in rows]
+    want = _kneser_ney_brute([b for b, r in zip(bodies, rows) if r[0] in fit], bodies, kneser_ney.ORDER)
+    got = kneser_ney.quality(df, labels, quantile=0.5).collect()
+    assert sorted(r["perplexity"] for r in got) == pytest.approx(sorted(want), rel=1e-6)
+    by_id = {r["doc_id"]: r for r in got}
+    assert [by_id[r[0]]["perplexity"] for r in rows] == pytest.approx(want, rel=1e-6)
+    every = sorted(w for w, r in zip(want, rows) if r[0] in fit)
+    for lang in ("aa", "bb", None, "cc"):
+        mine = sorted(w for w, r in zip(want, rows) if r[0] in fit and r[2] == lang) or every
+        assert all(r["threshold"] == pytest.approx(mine[math.ceil(len(mine) / 2) - 1]) for r in got if r["lang"] == lang)
+    assert all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in got)
+
+
+def test_thresholds_take_rows_beyond_the_fitted_ones(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "trusted_ids", lambda labels: [0, 1])
+    df = spark.createDataFrame([(i, "ab" * (i + 1), "aa" if i < 2 else "bb") for i in range(8)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.quality(df, labels, quantile=1.0).collect()
+    assert {r["threshold"] for r in got if r["lang"] == "bb"} == {max(r["perplexity"] for r in got if 2 <= r["doc_id"] < 6)}
+
+
 def test_quality_by_perplexity(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     junk = spark.createDataFrame([(500, "$$$ %%% 9x9x &&& ### zzqj " * 30, "en", "s0", 0, "", 0.0)], DOCUMENTS)
@@ -407,12 +476,11 @@ def test_packing_finds_neighbours_anywhere_in_the_input(spark):
     assert len(pairs) > 100 and sum(pairs) > 0.6 * len(pairs)
 
 
-@pytest.mark.parametrize("text", ["It's THE end... of it", "l'été, où ÇA?! naïve_3x", "tab\x1cgap \x85 x", "école İstanbul ΣΊΣΥΦΟΣ", "<|endoftext|> 12,345 🙂🙂", "don't we're I'll 'tis"])
+@pytest.mark.parametrize("text", ["It's THE end... of it", "l'été, où ÇA?! naïve_3x", "tab\x1cgap \x85 x", "école İstanbul ΣΊΣΥΦΟΣ", "<|endoftext|> 12,345 🙂🙂", "hello<|startoftext|>world <|endoftext|>", "<|ENDOFTEXT|> <|x", "don't we're I'll 'tis"])
 def test_remembered_words_encode_like_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.VOCABULARY)
-    tokenizer.encode_special_tokens = True
     encode, kind = packing.encoder()
     assert np.frombuffer(encode(text), kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
@@ -484,6 +552,85 @@ def test_secret_spans(spark, empty):
     assert got[2]["n_random"] == 0 and secrets.secret_spans(empty).count() == 0
 
 
+def _tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def _battery(token, encoding):
+    """The p-value by plain Python; chi-squared tails by the cube root as in the operator."""
+    letters = secrets.ALPHABETS[encoding]
+    written = token.lower() if encoding == "hex" else token.replace("-", "+").replace("_", "/") if encoding == "base64" else token
+    v, n, k = [letters.index(c) for c in written], len(token), len(letters)
+    cls = [next(i for i, c in enumerate(secrets._CLASSES) if re.match(c, x)) for x in written]
+    shares = [len(re.findall(c, letters)) / k for c in secrets._CLASSES]
+
+    def chi_tail(chi, free):
+        return _tail(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+
+    def two(z):
+        return min(1.0, 2 * _tail(abs(z)))
+
+    uniform = chi_tail(k / n * sum(c * c for c in Counter(v).values()) - n, k - 1)
+    seen = [(cls.count(i), s * n) for i, s in enumerate(shares) if s]
+    classes = chi_tail(sum((o - e) ** 2 / e for o, e in seen), len(seen) - 1)
+    m, among = len(re.findall("[A-Za-z]", written)), len(re.findall("[AEIOUaeiou]", letters)) / len(re.findall("[A-Za-z]", letters))
+    vowels = two(max(0, abs(len(re.findall("[AEIOUaeiou]", written)) - m * among) - 0.5) / math.sqrt(m * among * (1 - among))) if m else 1.0
+    one, both = 1 - sum(s * s for s in shares), sum(s * (1 - s) ** 2 for s in shares)
+    wide = math.sqrt((n - 1) * one * (1 - one) + 2 * (n - 2) * (both - one * one))
+    runs = two(max(0, abs(sum(a != b for a, b in zip(cls, cls[1:])) - (n - 1) * one) - 0.5) / wide)
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = two((sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
+    half = -sum(math.log(max(p, 1e-300)) for p in (classes, vowels, runs))
+    b = min(2.0, 2 * math.exp(-half) * (1 + half + half * half / 2), 4 * uniform, 4 * serial)
+    return 1 - (1 - b / 2) * (1 - b / 4) ** 2
+
+
+def _drawn(rng, name, size):
+    return "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(size))
+
+
+def test_battery_against_brute_force(spark):
+    rng = random.Random(9)
+    tokens = [_drawn(rng, name, size) for name in secrets.ALPHABETS for size in (20, 33, 64)]
+    tokens += ["CustomerOrderReportSummary42", "a" * 30, "0123456789abcdef0123", "the-quick-brown-fox_jumps", "ABCDEFGH" * 3, "x" + "7" * 25]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select(secrets.battery(F.array("t"))[0].alias("x")).select("x.*").collect()
+    assert {r["encoding"] for r in got} == set(secrets.ALPHABETS)
+    for r in got:
+        assert math.isclose(r["p"], _battery(r["token"], r["encoding"]), rel_tol=1e-3, abs_tol=1e-6)
+        assert math.isclose(r["bits"], len(r["token"]) * math.log2(len(secrets.ALPHABETS[r["encoding"]])))
+
+
+def test_random_runs_are_found_and_names_are_not(spark):
+    """Short random runs, with or without a digit, beside camel-case names, slugs and paths."""
+    rng = random.Random(5)
+    parts = "Customer Order Report Summary get User Name Index Build File Path Handler Manager Service Request Response Stream Reader Config Value".split()
+    keys = [_drawn(rng, name, size) for name, size in [("base62", 16), ("base62", 20), ("lower36", 24), ("base64", 44), ("base32", 20)] for _ in range(100)]
+    names = ["".join(w.capitalize() for w in rng.sample(parts, rng.randint(3, 5))) + str(rng.randint(1, 99)) for _ in range(200)]
+    names += [c.join(w.lower() for w in rng.sample(parts, 4)) for c in "-/_" for _ in range(60)]
+    names = [x for x in names if len(x) >= 14]
+    df = spark.createDataFrame(list(enumerate(keys + names)), "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.secret_spans(df).filter("n_random > 0").collect()}
+    for i in range(5):
+        assert sum(j in found for j in range(100 * i, 100 * i + 100)) >= 90
+    assert sum(len(keys) + j in found for j in range(len(names))) < 0.05 * len(names)
+
+
+def test_spans_of_many_runs(spark):
+    """Whole texts of more runs than a block; random runs beside base spans; ids null, repeated, names that clash."""
+    rng = random.Random(6)
+    key = _drawn(rng, "base62", 30)
+    long = " ".join(_drawn(rng, "hex", 16) if i % 3 else f"é{key}" for i in range(1000))
+    rows = [(None, long, "x", 1), (3, long, "y", 2), (3, long, "y", 2), (4, f"token={key} {key}", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string, start int")
+    got = secrets.secret_spans(df).collect()
+    want = sorted([(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", long)] + [(m.start(), 3, m.end()) for m in re.finditer(key, long)])
+    told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "3", "4", "None"]
+    assert [r["spans"] for r in got if r["doc_id"] != 4] == [told] * 3
+    assert next(r for r in got if r["doc_id"] == 4)["spans"] == f"assign:0:36,random:37:67"
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
@@ -508,3 +655,16 @@ def test_pipeline_against_its_parts(spark, docs, rows):
     assert abs(taken - 1.5 * sum(sizes.values())) <= len(sizes)
     tokens = {r["doc_id"]: r["doc_tokens"] for r in told["packing"]}
     assert sum(r["length"] for r in told["packing"]) >= sum(tokens.values())
+
+
+def test_an_id_on_two_texts_keeps_both_groups(spark):
+    from candor.llm import stages
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(80)) for w in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, b), (8, c), (8, c), (None, c), (None, "alone in its group"), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = stages.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    told = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(told, key=str) == sorted([(5, a), (5, b), (8, c), (None, "alone in its group"), (9, None)], key=str)
+    assert stages.one_of_each_group(spark, docs.limit(0), "").count() == 0
