@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from os.path import commonprefix
 
 import numpy as np
 import public_tokenizers
@@ -44,12 +45,15 @@ CACHE = 300_000  # words whose ids a worker remembers
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 # Bytes of which one is in every text that _ODD_SPACE matches: looking for them is much faster than matching.
 _ODD_MARKS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1", b"\xe2", b"\xe3", b"\xef")
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile("[\x21-\x7eÀ-įĲ-ɏ]+")
 # The vocabulary's own pre-tokens, for words of plain letters.
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
 def has_odd_space(text: str) -> bool:
+    if text.isascii():
+        return any(mark in text for mark in _ODD_ASCII)
     data = text.encode()
     return any(mark in data for mark in _ODD_MARKS) and _ODD_SPACE.search(text) is not None
 
@@ -72,6 +76,7 @@ def encoder(path: str = VOCABULARY) -> tuple[Callable[[str], bytes], np.dtype]:
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    mark = commonprefix(special)  # one search tells most texts apart
     size = max(tokenizer.get_vocab().values()) + 1
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
     width, model, letters = kind.itemsize, tokenizer.model, _byte_letters()
@@ -101,7 +106,7 @@ def encoder(path: str = VOCABULARY) -> tuple[Callable[[str], bytes], np.dtype]:
     words = Words()
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special) or has_odd_space(text):
+        if (special and mark in text and any(s in text for s in special)) or has_odd_space(text):
             return whole(text) + closing
         return b"".join(map(words.__getitem__, text.split())) + closing
 
