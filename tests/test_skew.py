@@ -9,7 +9,7 @@ from helpers import EDGE_SCHEMA, by_user, random_edges, similar_users
 from pyspark.sql import functions as F
 
 from candor.lineage import cut
-from candor.operators import suspicious
+from candor.operators import similarity, suspicious
 from candor.operators.similarity import overlapping_sets, profile_edges, profiles, similar_sets
 from candor.skew import tiled_join
 
@@ -60,3 +60,26 @@ def test_ratings_agree_over_light_and_heavy_items(spark, monkeypatch):
     monkeypatch.setattr(suspicious, "similar_sets", lambda *a, **k: similar_sets(*a, **k, light=4))
     edges = random_edges(8, users=40, products=8, hot="p01")
     assert {r.user_id for r in suspicious.suspicious_users(edges_of(spark, edges)).collect()} == {u for pair in similar_users(edges) for u in pair}
+
+
+def test_small_sets_meet_on_two_items(spark, monkeypatch):
+    """Sets that share an item only do not meet where two are needed; results are those of all pairs, beside larger sets too."""
+    rng = random.Random(3)
+    sets = {f"s{n:03}": frozenset(rng.sample(range(60), 4 if n < 380 else 12)) for n in range(400)}
+    sets |= {f"t{n:03}": frozenset([*list(sets[f"s{n * 9:03}"])[:3], 99]) for n in range(44)}
+    rows = [(s, f"i{i}", float(i % 3), 1, len(items)) for s, items in sets.items() for i in items]
+    own = spark.createDataFrame(rows, "profile string, item string, rating double, members long, size long")
+    met = []
+
+    def counted(left, right, key, **options):
+        out = tiled_join(left, right, key, **options)
+        met.append(out.filter("set_1 < set_2").count())
+        return out
+
+    monkeypatch.setattr(similarity, "tiled_join", counted)
+    found = similar_sets(own, "profile", "item", threshold=0.4, value="rating").collect()
+    pairs = [(a, b, sets[a] & sets[b], sets[a] | sets[b]) for a in sets for b in sets if a < b]
+    small = [p for p in pairs if p[2] and max(len(sets[p[0]]), len(sets[p[1]])) <= 8]
+    assert met and met[0] < len(small) / 5
+    assert {(r.set_1, r.set_2): r.shared for r in found} == {(a, b): len(x) for a, b, x, u in pairs if len(x) >= 0.4 * len(u)}
+    assert {(r.set_1, r.set_2): r.shared for r in overlapping_sets(own, "profile", "item").collect()} == {(a, b): len(x) for a, b, x, _ in pairs if len(x) > 1}
