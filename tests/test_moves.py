@@ -1,8 +1,13 @@
 """What is moved: rows that are joined back carry nothing they can do without."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from candor.lineage import cut
 from candor.operators.behavior import same_day_counts
+from candor.operators.graph import _class_pairs
 from candor.skew import attach
 
 
@@ -28,3 +33,18 @@ def test_attached_rows_do_not_carry_the_hash(spark):
     out = attach(rows, values, "k")
     assert out.columns == ["k", "id", "n"] and out.filter("n >= 14").count() == 100
     assert " AS _mark" not in _plan(out)
+
+
+@pytest.mark.parametrize("carried", [1, 2, 64])
+def test_class_pairs_are_counted_where_they_meet_first(spark, carried):
+    rnd = random.Random(carried)
+    sets = {f"o{i}": {f"p{rnd.randrange(9)}" for _ in range(rnd.randrange(1, 6))} for i in range(40)}
+    rows = [(o, p, 1 + int(o[1:]) % 3, len(ps)) for o, ps in sets.items() for p in ps]
+    own = cut(spark.createDataFrame(rows, "profile string, product_id string, members long, size long"))
+    pairs = _class_pairs(own, carried)
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = pairs.collect()
+    assert {(r.set_1, r.set_2): r.weight for r in got} == want and len(got) == len(want)
+    assert all(r.members_1 == 1 + int(r.set_1[1:]) % 3 and r.members_2 == 1 + int(r.set_2[1:]) % 3 for r in got)
+    if carried == 64:
+        assert "Aggregate" not in _plan(pairs)  # pairs are not moved to be counted
