@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from candor.llm.common import slices, stored
+from candor.llm.common import SLICE_BYTES, slices, stored
 
 BLOCK_BYTES = 28 << 20
 END = 0xFF
@@ -101,9 +101,10 @@ class Held:
 def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[dict], list[bool]], *, words: bool) -> DataFrame:
     """The stored table of blocks: rows of n-grams, of words (if asked) and of texts.
 
-    ``docs`` has the columns ``text`` and ``payload``; ``trained`` tells the training rows of a dict of columns.
+    ``docs`` has the columns ``text`` (or its Zstandard frames) and ``payload``; ``trained`` tells the training rows of a dict of columns.
     """
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    packed = dict(docs.dtypes)["text"] == "binary"
 
     def rows(block: int, held: Held) -> Iterator[pa.RecordBatch]:
         parts = [(GRAM, *held.grams())]
@@ -117,15 +118,17 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(size, block)), pa.array(np.full(size, kind, np.int32)), pa.array(some), pa.array(times[at : at + size]), pa.nulls(size, pa.binary())], schema=arrow
                 )
-        packed = zstandard.ZstdCompressor(level=12).compress(pickle.dumps((held.payload, held.bodies)))
-        yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXTS], "code": [0], "n": [len(held.bodies)], "texts": [packed]}, schema=arrow)
+        texts = zstandard.ZstdCompressor(level=12).compress(pickle.dumps((held.payload, held.bodies)))
+        yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXTS], "code": [0], "n": [len(held.bodies)], "texts": [texts]}, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, Held(n, words)
+        block, held, press = TaskContext.get().partitionId() << 32, Held(n, words), zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 4 if packed else SLICE_BYTES):
                 if part.num_rows:
                     columns = part.to_pydict()
+                    if packed:
+                        columns["text"] = [press.decompress(t).decode() for t in columns["text"]]
                     held.add(columns["text"], [columns[c] for c in payload], trained(columns))
                 if held.size >= BLOCK_BYTES:
                     yield from rows(block, held)

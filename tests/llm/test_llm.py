@@ -680,3 +680,21 @@ def test_an_id_on_two_texts_keeps_both_groups(spark):
     told = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert sorted(told, key=str) == sorted([(5, a), (5, b), (8, c), (None, "alone in its group"), (9, None)], key=str)
     assert stages.one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
+def test_trusted_texts_move_compressed_and_never_by_broadcast(spark, monkeypatch):
+    """The rows that meet the labels hold compressed texts, at any size, and score like plain ones."""
+    from candor.llm import blocks, kneser_ney
+
+    texts = ["alpha beta gamma " * 20, "Ünïcode text", "", None, "beta alpha " * 9]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    seen, build = [], blocks.build
+    monkeypatch.setattr(blocks, "build", lambda rows, *a, **k: seen.append(rows) or build(rows, *a, **k))
+    trusted = spark.createDataFrame([(0,), (1,), (3,)], "doc_id long")
+    key = lambda r: r["doc_id"]
+    got = sorted(kneser_ney.perplexities(docs, trusted).collect(), key=key)
+    plain = sorted(kneser_ney.perplexities(docs, [0, 1, 3]).collect(), key=key)
+    assert [(r["doc_id"], r["trusted"], r["n_bytes"]) for r in got] == [(r["doc_id"], r["trusted"], r["n_bytes"]) for r in plain]
+    assert all(abs(a["score"] - b["score"]) < 1e-9 for a, b in zip(got, plain))
+    assert dict(seen[0].dtypes)["text"] == "binary"
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
