@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candor.lineage import cut
 from candor.operators.behavior import same_day_counts
 from candor.operators.graph import _class_pairs
+from candor.operators.similarity import _repeated
 from candor.skew import attach
 
 
@@ -48,3 +49,9 @@ def test_class_pairs_are_counted_where_they_meet_first(spark, carried):
     assert all(r.members_1 == 1 + int(r.set_1[1:]) % 3 and r.members_2 == 1 + int(r.set_2[1:]) % 3 for r in got)
     if carried == 64:
         assert "Aggregate" not in _plan(pairs)  # pairs are not moved to be counted
+
+
+def test_marks_met_by_nothing_are_dropped_before_the_join(spark):
+    marks = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 6, "a"), (2, 5, "c"), (2, 7, "c"), (2, 7, "d")], "kind int, key long, set string")
+    got = sorted(tuple(r) for r in _repeated(marks, ["kind", "key"]).select("kind", "key", "set").collect())
+    assert got == [(1, 5, "a"), (1, 5, "b"), (2, 7, "c"), (2, 7, "d")]
