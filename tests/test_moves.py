@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from helpers import clustering, random_edges
 from pyspark.sql import functions as F
 
 from candor.lineage import cut
 from candor.operators.behavior import same_day_counts
+from candor.operators import graph
 from candor.operators.graph import _class_pairs
 from candor.operators.similarity import _repeated
 from candor.skew import attach
@@ -55,3 +57,15 @@ def test_marks_met_by_nothing_are_dropped_before_the_join(spark):
     marks = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 6, "a"), (2, 5, "c"), (2, 7, "c"), (2, 7, "d")], "kind int, key long, set string")
     got = sorted(tuple(r) for r in _repeated(marks, ["kind", "key"]).select("kind", "key", "set").collect())
     assert got == [(1, 5, "a"), (1, 5, "b"), (2, 7, "c"), (2, 7, "d")]
+
+
+@pytest.mark.parametrize("most,piece", [(0, 2), (12, 1), (1 << 15, 1024)])
+def test_clustering_lists_no_pairs_of_classes(spark, monkeypatch, most, piece):
+    monkeypatch.setattr(graph, "_class_pairs", None)  # called before
+    flat = random_edges(piece, users=24, products=9, hot="p03")
+    df = spark.createDataFrame([(e[0], e[1]) for e in flat], "user_id string, product_id string")
+    want = clustering(flat)
+    assert {r.user_id: r.user_clustering for r in graph.user_clustering(df, most=most, piece=piece).collect()} == pytest.approx(want)
+    some = df.select("user_id").distinct().filter(F.xxhash64("user_id") % 2 == 0)
+    got = {r.user_id: r.user_clustering for r in graph.user_clustering(df, some, most=most, piece=piece).collect()}
+    assert 0 < len(got) < len(want) and got == pytest.approx({u: want[u] for u in got})
