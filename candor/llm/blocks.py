@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,10 +30,12 @@ from pyspark.sql.types import StructType
 from candor.llm.common import SLICE_BYTES, slices, stored
 
 BLOCK_BYTES = 28 << 20
+PACK_ROWS = 1 << 20  # answers that are compressed at once
 END = 0xFF
 GRAM, TOKEN, TEXTS = 0, 1, 2  # kinds of rows
 END_TOKEN = b"\xff"
 SCHEMA = "block long, kind int, code long, n long, texts binary"
+PACKED = "block long, kind int, packed binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -69,8 +71,7 @@ class Held:
         self.payload: list[list] = []
         self.bodies: list[bytes] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.seen: set[bytes] = set()
-        self.known: Counter = Counter()
+        self.known: Counter = Counter()  # 0 for words of other documents only
 
     def add(self, texts: list, payload: list[list], learn: list[bool]) -> None:
         split = [tokens(t) for t in texts]
@@ -86,16 +87,21 @@ class Held:
             asked = np.unique(codes(other, self.n)[0])
             self.parts.append((asked, np.zeros(len(asked), np.int64)))
         if self.words:
-            self.seen.update(*split)
             for w, yes in zip(split, learn):
                 if yes:
                     self.known.update(w)
+                else:
+                    self.known.update(dict.fromkeys(w, 0))
             self.known[END_TOKEN] += sum(learn)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        every, place = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([n for _, n in self.parts]), len(every))
-        return every.astype(np.int64), counts.astype(np.int64)
+        """The distinct n-grams, in order, and their counts; the slices' own go."""
+        every, counts = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts.clear()
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        return every[first].astype(np.int64), np.add.reduceat(counts[order], first)
 
 
 def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[dict], list[bool]], *, words: bool) -> DataFrame:
@@ -109,8 +115,8 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
     def rows(block: int, held: Held) -> Iterator[pa.RecordBatch]:
         parts = [(GRAM, *held.grams())]
         if words:
-            every = {END_TOKEN, *held.seen}
-            parts.append((TOKEN, np.fromiter(map(token_code, every), np.int64, len(every)), np.fromiter((held.known[w] for w in every), np.int64, len(every))))
+            size = len(held.known)
+            parts.append((TOKEN, np.fromiter(map(token_code, held.known), np.int64, size), np.fromiter(held.known.values(), np.int64, size)))
         for kind, code, times in parts:
             for at in range(0, len(code), 1 << 16):
                 some = code[at : at + (1 << 16)]
@@ -118,7 +124,7 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(size, block)), pa.array(np.full(size, kind, np.int32)), pa.array(some), pa.array(times[at : at + size]), pa.nulls(size, pa.binary())], schema=arrow
                 )
-        texts = zstandard.ZstdCompressor(level=12).compress(pickle.dumps((held.payload, held.bodies)))
+        texts = zstandard.ZstdCompressor(level=6).compress(pickle.dumps((held.payload, held.bodies)))
         yield pa.RecordBatch.from_pydict({"block": [block], "kind": [TEXTS], "code": [0], "n": [len(held.bodies)], "texts": [texts]}, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +145,57 @@ def build(docs: DataFrame, n: int, payload: Sequence[str], trained: Callable[[di
     return stored(docs.select("text", *payload).mapInArrow(run, SCHEMA), "blocks")
 
 
+def _narrow(column: np.ndarray) -> bytes:
+    """Eight-byte numbers with their first bytes, their second bytes and so on side by side, which compress well."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _wide(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def packed(answers: DataFrame) -> DataFrame:
+    """(block, kind, packed): the codes and values of ``answers`` as compressed arrays, some ``PACK_ROWS`` rows of a task at once."""
+    arrow = to_arrow_schema(StructType.fromDDL(PACKED))
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=1)
+        block, kind, code, value = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("block", "kind", "code", "value"))
+        group, keys = pd.factorize(block * 2 + kind)  # kinds are GRAM and TOKEN
+        order = np.argsort(group.astype(np.uint16 if len(keys) <= 1 << 16 else np.int64), kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=len(keys)))
+        rows = []
+        for key, at, to in zip(keys.tolist(), [0, *ends], ends):
+            some = order[at:to]
+            parts = _narrow(np.diff(code[some], prepend=np.int64(0))), _narrow(value[some])
+            rows.append((key >> 1, key & 1, press.compress(b"".join(parts))))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= PACK_ROWS:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return answers.select("block", "kind", "code", F.col("value").cast("double").alias("value")).mapInArrow(run, PACKED)
+
+
+def unpacked(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All codes and values of packed pieces."""
+    press, codes_, values = zstandard.ZstdDecompressor(), [np.zeros(0, np.int64)], [np.zeros(0)]
+    for piece in pieces:
+        data = press.decompress(piece)
+        codes_.append(np.cumsum(_wide(data[: len(data) // 2], np.int64)))
+        values.append(_wide(data[len(data) // 2 :], np.float64))
+    return np.concatenate(codes_), np.concatenate(values)
+
+
 def score(built: DataFrame, answers: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
     """Score the documents of each block with its ``answers`` (block, kind, code, value).
 
@@ -150,8 +207,8 @@ def score(built: DataFrame, answers: DataFrame, n: int, fn: Callable, schema: st
         if not len(texts):
             return pd.DataFrame({c: [] for c in names})
         payload, bodies = pickle.loads(zstandard.ZstdDecompressor().decompress(texts["texts"].iloc[0]))
-        grams = values[values["kind"] == GRAM].sort_values("code")
-        known, logs = grams["code"].to_numpy(), grams["value"].to_numpy()
+        known, logs = unpacked(values.loc[values["kind"] == GRAM, "packed"])
+        known = pd.Index(known)
         totals, at = [], 0
         while at < len(bodies):  # a few megabytes at once
             some, size = at, 0
@@ -159,10 +216,9 @@ def score(built: DataFrame, answers: DataFrame, n: int, fn: Callable, schema: st
                 size += len(bodies[at])
                 at += 1
             found, starts = codes(bodies[some:at], n)
-            distinct, place = np.unique(found, return_inverse=True)
-            totals.append(np.add.reduceat(logs[np.searchsorted(known, distinct.astype(np.int64))][place], starts))
-        tokens_known = values[values["kind"] == TOKEN]
-        return pd.DataFrame(fn(payload, bodies, np.concatenate(totals), dict(zip(tokens_known["code"], tokens_known["value"]))), columns=names)
+            totals.append(np.add.reduceat(logs[known.get_indexer(found.astype(np.int64))], starts))
+        told = unpacked(values.loc[values["kind"] == TOKEN, "packed"])
+        return pd.DataFrame(fn(payload, bodies, np.concatenate(totals), dict(zip(*(c.tolist() for c in told)))), columns=names)
 
     texts = built.filter(F.col("kind") == TEXTS).select(F.col("block").alias("home"), "texts")
-    return texts.groupBy("home").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return texts.groupBy("home").cogroup(packed(answers).groupBy("block")).applyInPandas(run, schema)
