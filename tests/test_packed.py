@@ -6,6 +6,7 @@ import pytest
 from helpers import clustering, random_edges
 from pyspark.sql import functions as F
 
+from candor.lineage import numbered
 from candor.operators import graph, packed
 
 
@@ -56,4 +57,4 @@ def test_clustering_with_large_classes_and_products(spark, monkeypatch, carried,
 
 def test_numbers_have_no_gaps(spark):
     rows = spark.range(1000).select(F.concat(F.lit("p"), "id").alias("product_id")).repartition(5)
-    assert sorted(r.at for r in graph._dense(rows, "at", "numbers").collect()) == list(range(1000))
+    assert sorted(r.at for r in numbered(rows, "at", "numbers").collect()) == list(range(1000))

@@ -1,12 +1,14 @@
 """Disk: what steps shuffled is gone once they are written."""
 
 import time
+from pathlib import Path
 
 from helpers import EDGE_SCHEMA, random_edges, similar_users
 from pyspark.sql import functions as F
 
-from candor.lineage import cut, written
-from candor.operators import suspicious
+from candor.lineage import cut, forget, written
+from candor.operators import centrality, suspicious
+from candor.operators.similarity import profile_edges, profiles
 
 
 def _shuffled(spark):
@@ -50,3 +52,24 @@ def test_look_alikes_leave_only_what_the_result_reads(spark):
     found = suspicious.suspicious_users(df)
     assert not _left(spark, before)
     assert {r.user_id for r in found.collect()} == {u for pair in similar_users(edges) for u in pair}
+
+
+def test_rounds_of_eigenvector_centrality_are_a_chain(spark):
+    """A round's plan holds the one before once, however many follow each other, and states that are replaced are deleted."""
+    edges = cut(spark.createDataFrame([(e[0], e[1]) for e in random_edges(5)], "user_id string, product_id string"))
+    membership = cut(profiles(edges, "user_id", "product_id"))
+    grid = centrality._grid(cut(profile_edges(edges, membership, "user_id")), 10)
+    state = written(grid.state, "state")
+    folder = state.inputFiles()[0]
+    first = state
+    for j in (1, 2, 3):
+        state = centrality._round(grid, state, j)
+    assert _sources(state, first) == 1
+    forget(first)
+    assert not Path(folder.removeprefix("file://")).exists()
+
+
+def _sources(df, source):
+    """How often the plan of ``df`` scans the files of ``source``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n").split("\n")
+    return sum(leaf.startswith("Relation") and all(f"{c}#" in leaf for c in source.columns) for leaf in leaves)
